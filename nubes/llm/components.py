@@ -72,8 +72,9 @@ def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Co
     ``verify`` gets distinct pairs (a, b) and returns those linked.  ``fits`` is a condition on the sizes ``size_a`` and
     ``size_b`` that every link fulfils.
     """
-    sizes = lambda d, a, b: d.select(a.alias("a"), b.alias("b"))
-    pairs = sizes(met, F.col("item"), F.col("rep")).where("a <> b").distinct()
+    # turn 0: each item with the representative that it shares most keys with
+    shared = met.where("item <> rep").groupBy("item", "rep").count()
+    pairs = shared.groupBy("item").agg(F.max_by("rep", F.struct("count", "rep")).alias("b")).select(F.col("item").alias("a"), "b")
     links = scratch.keep(verify(pairs), "links_0")
     joined = components(links, scratch, "joined_0")
     for turn in (1, 2):
@@ -81,19 +82,19 @@ def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Co
         root = joined.select(F.col("item").alias("of"), "component")
         rows = met.join(root, met.item == root.of, "left").select("key", "item", "size", F.coalesce("component", "item").alias("component"))
         rows = scratch.keep(rows, f"open_{turn}")
-        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("component", "item", "size")).alias("top")).where("lo < hi")
+        split = rows.groupBy("key").agg(F.min(F.struct("component", "item", "size")).alias("low"), F.max("component").alias("high")).where("low.component < high")
         if turn == 1:
-            # every item against the last item of the last component
-            rows = rows.join(split.select(F.col("key").alias("k"), "top"), F.col("key") == F.col("k")).where("component <> top.component")
-            rows = rows.withColumnsRenamed({"size": "size_a"}).withColumn("size_b", F.col("top.size"))
-            pairs = sizes(rows.where(fits), F.col("item"), F.col("top.item"))
+            # every item against the first item of the first component under each of its keys
+            rows = rows.join(split.select(F.col("key").alias("k"), "low"), F.col("key") == F.col("k")).where("component <> low.component")
+            pairs = rows.withColumnRenamed("size", "size_a").withColumn("size_b", F.col("low.size")).where(fits).select("item", F.col("low.item").alias("other"))
         else:
             left = rows.join(split.select("key"), "key", "left_semi")
             right = left.toDF("key", "item_b", "size_b", "component_b")
             both = left.withColumnRenamed("size", "size_a").join(right, "key").where("component < component_b").where(fits)
-            pairs = sizes(both, F.col("item"), F.col("item_b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = both.select("item", F.col("item_b").alias("other"))
+        pairs = pairs.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
         more = scratch.keep(verify(pairs), f"links_{turn}")
+        scratch.drop(f"open_{turn}")
         if not more.isEmpty():
             links = links.unionAll(more)
             joined = components(links, scratch, f"joined_{turn}")
