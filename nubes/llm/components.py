@@ -52,7 +52,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def meetings(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The rows (key, item, size) whose key two or more items have, each with the smallest item of its key as ``rep``.
+    """The rows (key, item, size) whose key two or more items have, each with the smallest item of its key as ``rep``
+    and that one's size as ``rep_size``.
 
     One shuffle of the rows: sorted under their key, a row knows its group's first item and whether another one follows.
     """
@@ -61,6 +62,7 @@ def meetings(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     rows = once.select(
         "key", "item", "size",
         F.first("item").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rep"),
+        F.first("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rep_size"),
         F.lead("item").over(inside).alias("next"),
     )
     return scratch.keep(rows.where("item > rep OR next IS NOT NULL").drop("next"), name)
@@ -73,7 +75,8 @@ def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Co
     ``size_b`` that every link fulfils.
     """
     # turn 0: each item with the representative that it shares most keys with
-    shared = met.where("item <> rep").groupBy("item", "rep").count()
+    near = met.where("item <> rep").withColumnsRenamed({"size": "size_a", "rep_size": "size_b"}).where(fits)
+    shared = near.groupBy("item", "rep").count()
     pairs = shared.groupBy("item").agg(F.max_by("rep", F.struct("count", "rep")).alias("b")).select(F.col("item").alias("a"), "b")
     links = scratch.keep(verify(pairs), "links_0")
     joined = components(links, scratch, "joined_0")

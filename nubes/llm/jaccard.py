@@ -27,9 +27,9 @@ from nubes.llm.components import meetings, resolve
 from nubes.plans.scratch import Scratch
 
 WORDS = 5
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 #: A token counts as frequent from so many sets on.
-FREQUENT_FROM = 64
+FREQUENT_FROM = 32
 #: Ids sent to every task when sets are built again for verification; beyond it the texts are joined with them.
 BROADCAST_IDS = 2_000_000
 
@@ -125,7 +125,7 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarra
 
 
 def join_keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
-    """doc_id, n, fp1, fp2 and keys (array<long>) of texts with two tokens or more; equal sets of a task appear once."""
+    """n, fp1, fp2, keys (array<long>) and sketch of texts with two tokens or more; equal sets of a task appear once."""
     table = docs.sparkSession.sparkContext.broadcast((frequent, place))
 
     def run(batches):
@@ -135,18 +135,19 @@ def join_keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataF
                 block = Block(part.column(1), lower=True)
                 sets = shingle_sets(block, block.words, WORDS)
                 fp1, fp2 = fingerprints(sets)
-                ids = part.column(0).to_pylist()
                 rows = []
                 for i, s in enumerate(sets):
                     f = (fp1[i], fp2[i])
                     if len(s) > 1 and f not in seen:
                         seen.add(f)
-                        rows.append((ids[i], len(s), *f, keys_of(s, *table.value)))
+                        rows.append((len(s), *f, keys_of(s, *table.value), sketch(s)))
                 if rows:
-                    ids_, n, a, b, keys = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (n, a, b)] + [lists([as_signed(k) for k in keys], pa.int64())], ["n", "fp1", "fp2", "keys"])
+                    n, a, b, keys, sketches = zip(*rows)
+                    columns = [pa.array(x, pa.int64()) for x in (n, a, b)]
+                    columns += [lists([as_signed(k) for k in keys], pa.int64()), pa.array(sketches, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["n", "fp1", "fp2", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "n long, fp1 long, fp2 long, keys array<long>")
+    return docs.mapInArrow(run, "n long, fp1 long, fp2 long, keys array<long>, sketch binary")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -174,6 +175,39 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return map_blocks(docs, "text", run, "item long, tokens binary")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many tokens of a set fall into each hash bucket, a byte a bucket; empty if a count doesn't fit.
+
+    Sums of bucket-wise minima bound an intersection from above, so pairs that fail on them need no look at their tokens.
+    Buckets follow the size, a few tokens each; the larger of two sketches folds onto the smaller.
+    """
+    buckets = max(64, 1 << max(0, (len(s) // 4 - 1)).bit_length())
+    counts = np.bincount((s & U64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) whose sketches (item, size, sketch) don't rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [np.asarray(batch.column(i)) for i in (2, 3)]
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint8) for k in (4, 5))
+                if len(x) and len(y):
+                    if len(x) > len(y):
+                        x, y = y, x
+                    y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)
+                    most = int(np.minimum(x, y).sum())
+                    keep[i] = 100 * most >= percent * (int(sizes[0][i]) + int(sizes[1][i]) - most)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+
+    one, two = sketches.toDF("a", "size_a", "sketch_a"), sketches.toDF("b", "size_b", "sketch_b")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
 
@@ -216,12 +250,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     order = np.argsort(frequent)
     texts = first.where("n IS NOT NULL")
     classes = scratch.keep(texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("item"), F.first("n").alias("size")), "classes")
-    keyed = join_keys(known, frequent[order], order).groupBy("fp1", "fp2").agg(F.first("keys").alias("keys"))
-    members = keyed.join(classes, ["fp1", "fp2"]).select(F.explode("keys").alias("key"), "item", "size")
-    met = meetings(members, scratch, "met")
-    sets = scratch.keep(token_sets(only(known, met.select("item").distinct())), "sets")
+    keyed = join_keys(known, frequent[order], order).groupBy("fp1", "fp2").agg(F.first(F.struct("keys", "sketch")).alias("x"))
+    keyed = scratch.keep(keyed.join(classes, ["fp1", "fp2"]).select("item", "size", "x.keys", "x.sketch"), "keyed")
+    met = meetings(keyed.select(F.explode("keys").alias("key"), "item", "size"), scratch, "met")
+    sketches = keyed.select("item", "size", "sketch")
+    turns = iter(range(9))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        name = f"possible_{next(turns)}"
+        left = scratch.keep(possible(pairs, sketches), name)
+        ids = left.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+        return verified(left, scratch.keep(token_sets(only(known, ids)), f"sets_{name}"))
+
     fits = (4 * F.col("size_a") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size_a"))
-    joined = scratch.keep(resolve(met, lambda p: verified(p, sets), fits, scratch), "components")
+    joined = scratch.keep(resolve(met, verify, fits, scratch), "components")
     roots = classes.join(joined, "item", "left").select("fp1", "fp2", F.coalesce("component", "item").alias("component_id"))
     linked = texts.where("n > 0 AND doc_id IS NOT NULL").join(roots, ["fp1", "fp2"], "left")
     alone = texts.where("NOT (n > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))
