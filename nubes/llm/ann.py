@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nubes.llm.blocks import bound_batches
 from nubes.plans.scratch import Scratch
 
 SAMPLE = 20_000
@@ -195,6 +196,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall_log: list
     better score.  With k candidates or fewer a query gets them all; without candidates it has no row.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "ann")
     base = usable(vectors)
     n = base.count()

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+#: What Spark hands a Python worker at once, long texts or short.
+BATCH_BYTES = "8m"
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,6 +41,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limits the Arrow batches of this session by bytes; by rows alone, ten thousand long texts would be one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -206,6 +213,8 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def map_blocks(df: DataFrame, text: str, fn: Callable, schema: str) -> DataFrame:
     """``fn(slice) -> dict of arrays, or None`` over every slice of the texts; column names are those of ``schema``."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import lists, plain, slices
+from nubes.llm.blocks import bound_batches, lists, plain, slices
 
 MAX_PIECES = 250_000
 #: A block ends when so many new pieces or words have gathered.
@@ -226,6 +226,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text")
     where tasks run, as an installed package is.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Ranks(ranks_path), pattern)
         for held in encoder.blocks(batches):
@@ -258,6 +260,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Ids and decoded bytes are kept by piece, so both digests are fed from pieces and no array of ids leaves the task.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Ranks(ranks_path), pattern)
         for held in encoder.blocks(batches):

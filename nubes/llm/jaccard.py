@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import U64, Block, as_signed, lists, map_blocks, mix, shingle_sets, slices
+from nubes.llm.blocks import as_signed, Block, bound_batches, lists, map_blocks, mix, shingle_sets, slices, U64
 from nubes.llm.components import meetings, resolve
 from nubes.plans.scratch import Scratch
 
@@ -238,6 +238,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     doc_id is linked to nothing and has a null component.  Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import U64, Block, as_signed, lists, mix, shingle_sets, slices, windows
+from nubes.llm.blocks import as_signed, Block, bound_batches, lists, mix, shingle_sets, slices, U64, windows
 from nubes.llm.components import meetings, resolve
 from nubes.llm.jaccard import verified
 from nubes.llm.repeats import grouped, line_block, lines_of, removals, without
@@ -81,6 +81,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     Null texts and rows with a null doc_id take no part; copies within one document count; an empty table gives an empty
     result.  Rows that share a doc_id count as one document, and equal places in both as two occurrences.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "paragraphs")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     rows = scratch.keep(paragraph_rows(docs), "rows")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import LOWER, Block, mix, plain, running, slices, spans, U64
+from nubes.llm.blocks import Block, bound_batches, LOWER, mix, plain, running, slices, spans, U64
 
 #: Kinds in the order that breaks ties, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -273,6 +273,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     Null texts count as empty; repeated rows each get their row; a null doc_id stays null; an empty table gives an empty
     result.  Spans that the field adds never overlap a base span.  Offsets are code points, ends exclusive.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

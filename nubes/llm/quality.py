@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import U64, Block, map_blocks, mix, windows
+from nubes.llm.blocks import Block, bound_batches, map_blocks, mix, U64, windows
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 100_000
@@ -55,6 +55,7 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> np.ndarray:
 
 def count_ngrams(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts over all texts and over the trusted ones."""
+    bound_batches(docs.sparkSession)
     ids = docs.sparkSession.sparkContext.broadcast(trusted)
 
     def run(batches):
