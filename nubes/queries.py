@@ -1,4 +1,6 @@
 """The queries of the point-cloud engine and, where DuckDB can express them, their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from nubes.plans import cloud_queries
+
+QUERIES: dict = {**cloud_queries.QUERIES}
+ORACLES: dict = {**cloud_queries.ORACLES}
