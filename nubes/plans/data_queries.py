@@ -74,8 +74,8 @@ def null_halves(spark, sf_dir):
 
 
 def packets(spark, sf_dir):
-    """A packet of 30 items with 40 % of Q replaced, over the labelled documents."""
-    return sampling.packet(kinds(spark, sf_dir), "kind", "doc_id", 30, 0.4, seed=9)
+    """A packet of 8 items with half of Q replaced, over the labelled documents."""
+    return sampling.packet(kinds(spark, sf_dir), "kind", "doc_id", 8, 0.5, seed=9)
 
 
 def mode_reference(spark, sf_dir):
@@ -180,9 +180,9 @@ ORACLES = {
     "null_halves": f"""WITH a AS (SELECT vec_id, CASE WHEN row_number() OVER (ORDER BY vec_id) % 2 = 1 THEN 'P' ELSE 'Q' END AS side FROM embeddings),
         b AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY {_H.format('vec_id', 4)}, vec_id) AS p FROM a) SELECT vec_id, side FROM b WHERE p <= 100""",
     "packets": f"""WITH {_KINDS}, s AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY {_H.format('doc_id', 9)}, doc_id) AS p FROM d),
-        c AS (SELECT p - 30 AS pid, doc_id FROM s WHERE kind = 'correct' AND p BETWEEN 31 AND 60), h AS (SELECT p AS pid, doc_id FROM s WHERE kind = 'hallucinated' AND p <= 30),
-        m AS (SELECT c.pid, c.doc_id AS c, h.doc_id AS h, row_number() OVER (ORDER BY {_H.format('c.pid', 10)}, c.pid) <= 12 AS r FROM c JOIN h USING (pid))
-        SELECT 'P' AS side, p AS position, kind, doc_id AS item FROM s WHERE kind = 'correct' AND p <= 30 UNION ALL SELECT 'Q', pid, CASE WHEN r THEN 'hallucinated' ELSE 'correct' END, CASE WHEN r THEN h ELSE c END FROM m""",
+        c AS (SELECT p - 8 AS pid, doc_id FROM s WHERE kind = 'correct' AND p BETWEEN 9 AND 16), h AS (SELECT p AS pid, doc_id FROM s WHERE kind = 'hallucinated' AND p <= 8),
+        m AS (SELECT c.pid, c.doc_id AS c, h.doc_id AS h, row_number() OVER (ORDER BY {_H.format('c.pid', 10)}, c.pid) <= 4 AS r FROM c JOIN h USING (pid))
+        SELECT 'P' AS side, p AS position, kind, doc_id AS item FROM s WHERE kind = 'correct' AND p <= 8 UNION ALL SELECT 'Q', pid, CASE WHEN r THEN 'hallucinated' ELSE 'correct' END, CASE WHEN r THEN h ELSE c END FROM m""",
     "mode_reference": "SELECT CAST(i AS INT) AS mode, round(8 * cos(i * 2 * pi() / 8), 9) + 0.0::DOUBLE AS x, round(8 * sin(i * 2 * pi() / 8), 9) + 0.0::DOUBLE AS y FROM range(8) t(i)",
     "image_sweep": """WITH i AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: greatest(0, least(255, CAST(floor(v::DOUBLE * 64 + 128) AS INT)))) AS px FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         s(severity) AS (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE)), m AS (SELECT *, list_avg(px) AS mean FROM i, s)

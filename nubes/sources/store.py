@@ -23,12 +23,17 @@ CONFIG = {
 METRICS = ["mtd_PQ", "mtd_QP", "ntd_PQ", "ntd_QP", "rtd", "precision@1", "recall@1", "precision@3", "recall@3", "precision@10", "recall@10", "mmd", "frechet", "js"]
 SCHEMA = ", ".join([*(f"{c} {t}" for c, t in CONFIG.items()), *(f"`{m}` double" for m in METRICS), "runtime_seconds double", "status string", "error_message string", "config_key string"])
 KEY_LENGTH = 16
+DEFAULTS = {"model": "", "representation": "", "n_P": 0, "n_Q": 0}
+
+
+def full_config(config: dict) -> dict:
+    """All config columns; absent and null ones get their default."""
+    return {c: DEFAULTS.get(c) if config.get(c) is None else config[c] for c in CONFIG}
 
 
 def config_key(config: dict) -> str:
     """The first hex digits of SHA-256 over the canonical JSON of all config columns; absent ones are null, NaN is an error."""
-    full = {c: config.get(c, "" if c in ("model", "representation") else 0 if c in ("n_P", "n_Q") else None) for c in CONFIG}
-    text = json.dumps(full, sort_keys=True, ensure_ascii=True, separators=(",", ":"), allow_nan=False)
+    text = json.dumps(full_config(config), sort_keys=True, ensure_ascii=True, separators=(",", ":"), allow_nan=False)
     return hashlib.sha256(text.encode()).hexdigest()[:KEY_LENGTH]
 
 
@@ -38,8 +43,7 @@ def result_row(config: dict, metrics: dict | None, seconds: float, error: str |
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     values = {m: (None if (v := (metrics or {}).get(m)) is None or math.isnan(v) else float(v)) for m in METRICS}
-    base = {c: config.get(c, "" if c in ("model", "representation") else 0 if c in ("n_P", "n_Q") else None) for c in CONFIG}
-    return base | values | {"runtime_seconds": seconds, "status": "failed" if error else "ok", "error_message": error, "config_key": config_key(config)}
+    return full_config(config) | values | {"runtime_seconds": seconds, "status": "failed" if error else "ok", "error_message": error, "config_key": config_key(config)}
 
 
 class ResultStore:
@@ -112,7 +116,7 @@ def with_keys(configs: DataFrame) -> DataFrame:
 
 
 def configs_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
-    rows = [{**{c: None for c in CONFIG}, "model": "", "representation": "", **c, "config_key": config_key(c)} for c in configs]
+    rows = [full_config(c) | {"config_key": config_key(c)} for c in configs]
     return spark.createDataFrame([tuple(r[k] for k in [*CONFIG, "config_key"]) for r in rows], ", ".join(f"{c} {t}" for c, t in CONFIG.items()) + ", config_key string")
 
 
