@@ -2,19 +2,29 @@
 
 ``resolve`` gets rows (key, item, size): only items with a common key can be linked.  It first compares every item with one
 representative per key, then joins what is linked into components, repeats that with another representative, and at last
-compares exactly those pairs under a common key that are still in different components.  Pairs inside a component need no
-comparison, since they cannot change it.  The result is that of comparing all pairs under a common key.
+compares those pairs under a common key that are still in different components.  Pairs inside a component need no comparison,
+since they cannot change it.  The result is that of comparing all pairs under a common key.
+
+In the last step the items of keys that hold many are dealt into blocks of bounded content.  Blocks that meet under a key are
+compared as a whole inside a task, which returns only links that join components; no row stands for a pair of items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nubes.plans.scratch import Scratch
 
+#: Keys of more open items than this are compared in blocks; those of fewer give at most this many pairs an item.
+PAIRS_UP_TO = 8
+#: A block holds about this many tokens or characters (the sizes of its items), and 8 to 256 items.
+BLOCK_SIZE = 1 << 16
+
 
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("v", "m").cast("decimal(20,0)")), F.lit(0))).first()
@@ -68,11 +78,66 @@ def meetings(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.keep(rows.where("item > rep OR next IS NOT NULL").drop("next"), name)
 
 
-def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Column, scratch: Scratch) -> DataFrame:
+def joining(compare: Callable[[list, list, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
+    """A task's work on two blocks (a, b, side, item, component, content): links (a, b) of items that join its components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, item, component = (table.column(k).to_numpy() for k in ("side", "item", "component"))
+        contents = table.column("content").to_pylist()
+        left = np.flatnonzero(side == 0)
+        alone = not (side == 1).any()
+        right = left if alone else np.flatnonzero(side == 1)
+        may = component[left][:, None] != component[right][None, :]
+        if alone:
+            may &= np.tri(len(left), k=-1, dtype=bool)
+        i, j = compare([contents[k] for k in left], [contents[k] for k in right], may)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        out = []
+        for x, y in zip(left[i].tolist(), right[j].tolist()):
+            one, two = find(int(component[x])), find(int(component[y]))
+            if one != two:
+                root[max(one, two)] = min(one, two)
+                out.append((item[x], item[y]))
+        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
+
+    return run
+
+
+def block_links(large: DataFrame, contents: Callable[[DataFrame], DataFrame], compare: Callable, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join components, from the rows (key, item, size, component, n) of keys with n items.
+
+    An item's block is a part of its largest key's items of like size; parts follow a hash, so no key's items are gathered.
+    """
+    band = F.expr("cast(log2(greatest(size, 1)) AS int)")
+    homes = large.groupBy("item", "size", "component").agg(F.max(F.struct("n", "key")).alias("home")).withColumn("band", band)
+    parts = F.expr(f"cast(ceil(home.n / greatest(8, least(256, {BLOCK_SIZE} / power(2, band)))) AS bigint)")
+    homes = homes.select("item", "component", F.xxhash64("home.key", "band", F.pmod(F.xxhash64("item"), parts)).alias("block"))
+    homes = scratch.keep(homes, "blocks")
+    held = large.select("key", F.col("item").alias("of")).join(homes, F.col("of") == F.col("item"))
+    held = held.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    meets = held.toDF("key", "a", "low", "high").join(held.toDF("key", "b", "low_b", "high_b"), "key")
+    meets = meets.where("a <= b AND least(low, low_b) < greatest(high, high_b)").select("a", "b").distinct()
+    members = homes.join(contents(homes.select("item")), "item")
+    sides = scratch.keep(meets, "block_pairs").select(
+        "a", "b", F.explode(F.expr("if(a = b, array(named_struct('side', 0, 'block', a)), array(named_struct('side', 0, 'block', a), named_struct('side', 1, 'block', b)))")).alias("x")
+    )
+    rows = sides.select("a", "b", "x.side", "x.block").join(members, "block").select("a", "b", "side", "item", "component", "content")
+    return rows.groupBy("a", "b").applyInArrow(joining(compare), "a long, b long")
+
+
+def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Column, scratch: Scratch, contents: Callable[[DataFrame], DataFrame], compare: Callable) -> DataFrame:
     """(item, component) of linked items from the rows of ``meetings``.
 
     ``verify`` gets distinct pairs (a, b) and returns those linked.  ``fits`` is a condition on the sizes ``size_a`` and
-    ``size_b`` that every link fulfils.
+    ``size_b`` that every link fulfils.  ``contents`` gets distinct items (item) and returns (item, content); ``compare`` gets
+    the contents of two blocks and a matrix of pairs to look at, and returns the positions of those linked.
     """
     # turn 0: each item with the representative that it shares most keys with
     near = met.where("item <> rep").withColumnsRenamed({"size": "size_a", "rep_size": "size_b"}).where(fits)
@@ -85,19 +150,24 @@ def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Co
         root = joined.select(F.col("item").alias("of"), "component")
         rows = met.join(root, met.item == root.of, "left").select("key", "item", "size", F.coalesce("component", "item").alias("component"))
         rows = scratch.keep(rows, f"open_{turn}")
-        split = rows.groupBy("key").agg(F.min(F.struct("component", "item", "size")).alias("low"), F.max("component").alias("high")).where("low.component < high")
+        split = rows.groupBy("key").agg(F.min(F.struct("component", "item", "size")).alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low.component < high")
         if turn == 1:
             # every item against the first item of the first component under each of its keys
             rows = rows.join(split.select(F.col("key").alias("k"), "low"), F.col("key") == F.col("k")).where("component <> low.component")
             pairs = rows.withColumnRenamed("size", "size_a").withColumn("size_b", F.col("low.size")).where(fits).select("item", F.col("low.item").alias("other"))
         else:
-            left = rows.join(split.select("key"), "key", "left_semi")
+            rows = scratch.keep(rows.join(split.select("key", "n"), "key"), "split")
+            left = rows.where(F.col("n") <= PAIRS_UP_TO).drop("n")
             right = left.toDF("key", "item_b", "size_b", "component_b")
             both = left.withColumnRenamed("size", "size_a").join(right, "key").where("component < component_b").where(fits)
             pairs = both.select("item", F.col("item_b").alias("other"))
         pairs = pairs.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
         more = scratch.keep(verify(pairs), f"links_{turn}")
         scratch.drop(f"open_{turn}")
+        if turn == 2:
+            large = rows.where(F.col("n") > PAIRS_UP_TO)
+            if not large.isEmpty():
+                more = more.unionAll(scratch.keep(block_links(large, contents, compare, scratch), "links_blocks"))
         if not more.isEmpty():
             links = links.unionAll(more)
             joined = components(links, scratch, f"joined_{turn}")

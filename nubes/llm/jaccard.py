@@ -230,6 +230,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
+def linked_sets(left: list[bytes], right: list[bytes], may: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs in ``may`` with 100 * intersection >= percent * union, by one index of the right tokens."""
+    sets = [np.frombuffer(y, np.uint64) for y in right]
+    sizes = np.array([len(y) for y in sets], np.int64)
+    tokens, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    found = [np.zeros((0, 2), np.int64)]
+    for i in np.flatnonzero(may.any(axis=1)):
+        x = np.frombuffer(left[i], np.uint64)
+        low = np.searchsorted(tokens, x)
+        n = np.searchsorted(tokens, x, "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        j = np.flatnonzero(may[i] & (both > 0) & (100 * both >= percent * (len(x) + sizes - both)))
+        found.append(np.stack([np.full(len(j), i), j], axis=1))
+    out = np.concatenate(found)
+    return out[:, 0], out[:, 1]
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -263,8 +283,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         ids = left.select(F.explode(F.array("a", "b")).alias("item")).distinct()
         return verified(left, scratch.keep(token_sets(only(known, ids)), f"sets_{name}"))
 
+    def contents(items: DataFrame) -> DataFrame:
+        return scratch.keep(token_sets(only(known, items)), "sets_blocks").withColumnRenamed("tokens", "content")
+
     fits = (4 * F.col("size_a") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size_a"))
-    joined = scratch.keep(resolve(met, verify, fits, scratch), "components")
+    joined = scratch.keep(resolve(met, verify, fits, scratch, contents, linked_sets), "components")
     roots = classes.join(joined, "item", "left").select("fp1", "fp2", F.coalesce("component", "item").alias("component_id"))
     linked = texts.where("n > 0 AND doc_id IS NOT NULL").join(roots, ["fp1", "fp2"], "left")
     alone = texts.where("NOT (n > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nubes.llm.blocks import as_signed, Block, bound_batches, lists, mix, shingle_sets, slices, U64, windows
 from nubes.llm.components import meetings, resolve
-from nubes.llm.jaccard import verified
+from nubes.llm.jaccard import linked_sets, verified
 from nubes.llm.repeats import grouped, line_block, lines_of, removals, without
 from nubes.plans.scratch import Scratch
 
@@ -87,7 +87,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(paragraph_rows(docs), "rows")
     met = meetings(rows.where("size(keys) > 0").select(F.explode("keys").alias("key"), "item", "size"), scratch, "met")
     sets = scratch.keep(shingled(lines_of(docs, met.select("item").distinct(), scratch)), "sets")
-    joined = scratch.keep(resolve(met, lambda p: verified(p, sets), F.lit(True), scratch), "components")
+    contents = lambda items: sets.withColumnRenamed("tokens", "content")
+    joined = scratch.keep(resolve(met, lambda p: verified(p, sets), F.lit(True), scratch, contents, linked_sets), "components")
     return scratch.keep(grouped(rows, joined), "groups")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nubes.llm import components as connected
 from nubes.llm import ann, blocks, bpe, jaccard, lines, mixing, paragraphs, pii, quality, secrets, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -299,3 +300,24 @@ def test_nearest_vectors_reach_the_recall(spark, monkeypatch):
     assert ann.nearest(df.limit(0), asked.limit(0)).collect() == []
     few = ann.nearest(df.where("vec_id IN (50, 51, 52)"), df.where("vec_id = 50")).collect()
     assert sorted(r.vec_id for r in few) == [51, 52]
+
+
+@pytest.mark.parametrize("pairs_up_to", [8, 0])
+def test_groups_that_share_much_and_link_little_are_resolved_in_blocks(spark, monkeypatch, pairs_up_to):
+    monkeypatch.setattr(connected, "PAIRS_UP_TO", pairs_up_to)
+    monkeypatch.setattr(connected, "BLOCK_SIZE", 1 << 10)
+    base, rng = prose(21, 120), np.random.default_rng(22)
+    texts = [" ".join(changed(base, rng.choice(120, 4 if k % 3 else 2, replace=False), k)) for k in range(60)]
+    texts += [t + " end" for t in texts[::7]]
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = components(len(sets), links)
+    assert 5 < len(set(want)) < len(want)
+    assert [r.component_id for r in jaccard.similar_documents(docs_frame(spark, texts)).orderBy("doc_id").collect()] == want
+    groups = {}
+    for r in paragraphs.repeated_paragraphs(docs_frame(spark, texts)).collect():
+        groups[r.doc_id] = r.keeper.doc_id
+    assert [groups.get(i, i) for i in range(len(texts))] == want
+    stem = "the same forty characters of a long line"
+    rows = [stem[:20] + "".join(rng.choice(list("abcé"), 4)) + stem[20:] + f" {k % 5}" for k in range(70)]
+    assert [r.text for r in lines.dedup_lines(docs_frame(spark, rows)).orderBy("doc_id").collect()] == brute_lines(rows)
