@@ -22,8 +22,8 @@ from nubes.plans.scratch import Scratch
 
 #: Keys of more open items than this are compared in blocks; those of fewer give at most this many pairs an item.
 PAIRS_UP_TO = 8
-#: A block holds about this many tokens or characters (the sizes of its items), and 8 to 256 items.
-BLOCK_SIZE = 1 << 16
+#: A block holds about this many tokens or characters (the sizes of its items), and 8 to 512 items.
+BLOCK_SIZE = 1 << 17
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -78,19 +78,16 @@ def meetings(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.keep(rows.where("item > rep OR next IS NOT NULL").drop("next"), name)
 
 
-def joining(compare: Callable[[list, list, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
-    """A task's work on two blocks (a, b, side, item, component, content): links (a, b) of items that join its components."""
+def joining(compare: Callable[[list, list, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """A task's work on pairs of blocks (a, b, left, right): links (a, b) of items that join components of the two."""
 
-    def run(table: pa.Table) -> pa.Table:
-        side, item, component = (table.column(k).to_numpy() for k in ("side", "item", "component"))
-        contents = table.column("content").to_pylist()
-        left = np.flatnonzero(side == 0)
-        alone = not (side == 1).any()
-        right = left if alone else np.flatnonzero(side == 1)
-        may = component[left][:, None] != component[right][None, :]
+    def links(left: pa.StructArray, right: pa.StructArray, alone: bool) -> list[tuple[int, int]]:
+        items, components, contents = ([x.field(k) for x in (left, right)] for k in ("item", "component", "content"))
+        items, components = ([x.to_numpy() for x in two] for two in (items, components))
+        may = components[0][:, None] != components[1][None, :]
         if alone:
             may &= np.tri(len(left), k=-1, dtype=bool)
-        i, j = compare([contents[k] for k in left], [contents[k] for k in right], may)
+        i, j = compare(contents[0].to_pylist(), contents[1].to_pylist(), may)
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -100,12 +97,20 @@ def joining(compare: Callable[[list, list, np.ndarray], tuple[np.ndarray, np.nda
             return c
 
         out = []
-        for x, y in zip(left[i].tolist(), right[j].tolist()):
-            one, two = find(int(component[x])), find(int(component[y]))
+        for x, y in zip(i.tolist(), j.tolist()):
+            one, two = find(int(components[0][x])), find(int(components[1][y]))
             if one != two:
                 root[max(one, two)] = min(one, two)
-                out.append((item[x], item[y]))
-        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
+                pair = int(items[0][x]), int(items[1][y])
+                out.append((min(pair), max(pair)))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            a, b, left, right = batch.columns
+            for k in range(batch.num_rows):
+                found = links(left[k].values, right[k].values, a[k] == b[k])
+                yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
     return run
 
@@ -117,19 +122,19 @@ def block_links(large: DataFrame, contents: Callable[[DataFrame], DataFrame], co
     """
     band = F.expr("cast(log2(greatest(size, 1)) AS int)")
     homes = large.groupBy("item", "size", "component").agg(F.max(F.struct("n", "key")).alias("home")).withColumn("band", band)
-    parts = F.expr(f"cast(ceil(home.n / greatest(8, least(256, {BLOCK_SIZE} / power(2, band)))) AS bigint)")
+    parts = F.expr(f"cast(ceil(home.n / greatest(8, least(512, {BLOCK_SIZE} / power(2, band)))) AS bigint)")
     homes = homes.select("item", "component", F.xxhash64("home.key", "band", F.pmod(F.xxhash64("item"), parts)).alias("block"))
     homes = scratch.keep(homes, "blocks")
     held = large.select("key", F.col("item").alias("of")).join(homes, F.col("of") == F.col("item"))
     held = held.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     meets = held.toDF("key", "a", "low", "high").join(held.toDF("key", "b", "low_b", "high_b"), "key")
     meets = meets.where("a <= b AND least(low, low_b) < greatest(high, high_b)").select("a", "b").distinct()
-    members = homes.join(contents(homes.select("item")), "item")
-    sides = scratch.keep(meets, "block_pairs").select(
-        "a", "b", F.explode(F.expr("if(a = b, array(named_struct('side', 0, 'block', a)), array(named_struct('side', 0, 'block', a), named_struct('side', 1, 'block', b)))")).alias("x")
-    )
-    rows = sides.select("a", "b", "x.side", "x.block").join(members, "block").select("a", "b", "side", "item", "component", "content")
-    return rows.groupBy("a", "b").applyInArrow(joining(compare), "a long, b long")
+    meets = scratch.keep(meets, "block_pairs")
+    # one row holds one block, whose content is bounded
+    members = homes.join(contents(homes.select("item")), "item").groupBy("block").agg(F.collect_list(F.struct("item", "component", "content")).alias("members"))
+    members = scratch.keep(members, "members")
+    both = meets.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    return both.mapInArrow(joining(compare), "a long, b long")
 
 
 def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Column, scratch: Scratch, contents: Callable[[DataFrame], DataFrame], compare: Callable) -> DataFrame:
