@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of lines leave their documents; a document left without a word goes."""
-    out = lines.dedup_lines(docs.select(*COLUMNS)).where(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    out = lines.dedup_lines(docs.select(*COLUMNS), short=True).where(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

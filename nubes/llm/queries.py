@@ -36,7 +36,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_removed and the digest of the text that is left, for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    return lines.dedup_lines(docs, short=True).select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
