@@ -1,9 +1,12 @@
 """Quality rules: fixed counts per text, then a log-likelihood ratio of hashed n-grams.
 
 The corpus and a trusted part of it are two multinomials over hashed word unigrams and bigrams.  A text's score is the mean
-over its n-grams of log p(trusted) - log p(corpus), and a text stays when the score reaches a fixed threshold.  Weights are
+over its n-grams of log p(trusted) - log p(corpus), and a text stays when the score reaches a threshold.  Weights are
 integers (2**-20 steps), so a score does not depend on the order of summation, and reruns agree.
 
+The threshold follows a fixed rule from the scores of all labelled texts that pass the base rule (``best_cut``): the share of
+quality 1 lost plus the share of quality 0 kept is least there; of equally good thresholds it is the middle one.
+
 The corpus counts cover every text.  The trusted part is fitted on labelled texts: those labelled quality 1 and nowhere 0,
 not toxic, up to ``MAX_TRUSTED`` of them taken by the hash of their id.  Only these ids and the two count tables
 (``BUCKETS`` long) go through the driver; both have fixed bounds.
@@ -11,7 +14,7 @@ not toxic, up to ``MAX_TRUSTED`` of them taken by the hash of their id.  Only th
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nubes.llm.blocks import Block, bound_batches, map_blocks, mix, U64, windows
+from nubes.plans.scratch import Scratch
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 100_000
-#: Mean log ratio per n-gram (natural log) from which on a text stays.
+#: Mean log ratio per n-gram (natural log) from which on a text stays where labels of both kinds are missing.
 THRESHOLD = -0.5
+#: Thresholds are multiples of 1 / STEPS.
+STEPS = 1 << 10
 SCALE = 1 << 20
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -128,53 +134,75 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, score double"
+    "base_failed boolean, score double"
 )
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): counts, ``base_failed``, ``score`` and ``kept``.
+def best_cut(slots: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The threshold from counts of texts labelled 1 and 0 by slot, floor(score * STEPS)."""
+    if not good.sum() or not bad.sum():
+        return THRESHOLD
+    low = int(slots.min())
+    n = int(slots.max()) - low + 2
+    kept = [np.bincount(slots - low, weights=w, minlength=n)[::-1].cumsum()[::-1] for w in (good, bad)]
+    error = np.rint((good.sum() - kept[0]) * bad.sum() + kept[1] * good.sum())  # whole numbers: ties are exact
+    first = int(error.argmin())
+    last = first + int(np.argmax(np.append(error[first:], -1) != error[first])) - 1
+    return (low + (first + last + 1) // 2) / STEPS
 
-    A null text counts as empty: no words, so it fails the base rule.  Repeated rows each get their row; a null doc_id is
-    kept as null and is never trusted.  Without any trusted text every score is 0 and the base rules alone decide.  Other
-    columns of ``docs`` are not read.  An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(log_ratio(*count_ngrams(docs, trusted_ids(labels))))
-    least = math.floor(threshold * SCALE)
 
-    def run(part):
-        block = Block(part.column(1))
+def threshold_of(scores: DataFrame, labels: DataFrame) -> float:
+    """The threshold from ``scores`` (doc_id, base_failed, score).  Labels that disagree count as the lower one."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
+    rows = scores.where("NOT base_failed").select("doc_id", F.floor(F.col("score") * STEPS).alias("slot")).join(known, F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy("slot").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).toArrow()
+    return best_cut(*(np.asarray(rows[c], np.int64) for c in ("slot", "good", "bad")))
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Callable]:
+    """Counts, ``base_failed`` and ``score`` of every row, and the function that gives the last two for a block."""
+    weights = docs.sparkSession.sparkContext.broadcast(log_ratio(*count_ngrams(docs, trusted_ids(labels))))
+
+    def score(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         out = base_counts(block)
         buckets, texts = hashed_ngrams(block)
         total = np.zeros(block.n, np.int64)
         np.add.at(total, texts, weights.value[buckets])
         grams = np.bincount(texts, minlength=block.n)
         failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED * out["n_words"])
-        kept = ~failed & (total >= least * grams)
-        return {"doc_id": part.column(0), **out, "base_failed": failed, "kept": kept, "score": total / (SCALE * np.maximum(grams, 1))}
+        return out, failed, total / (SCALE * np.maximum(grams, 1))
 
-    return map_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", run, SCHEMA)
+    def run(part):
+        out, failed, scores = score(Block(part.column(1)))
+        return {"doc_id": part.column(0), **out, "base_failed": failed, "score": scores}
+
+    return map_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", run, SCHEMA), score
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): counts, ``base_failed``, ``kept`` and ``score``.
+
+    Without a given ``threshold`` the labels give it.  A null text counts as empty: no words, so it fails the base rule.
+    Repeated rows each get their row; a null doc_id is kept as null and is never trusted.  Without any trusted text every
+    score is 0 and the base rules alone decide.  Other columns of ``docs`` are not read.  An empty table gives an empty result.
+    """
+    rows = Scratch(docs.sparkSession, "quality").keep(scored(docs, labels)[0], "scores")
+    least = threshold_of(rows, labels) if threshold is None else threshold
+    kept = (~F.col("base_failed") & (F.col("score") >= least)).alias("kept")
+    return rows.select(*[c for c in rows.columns if c != "score"], kept, "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns, from one pass over their texts."""
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(log_ratio(*count_ngrams(docs, trusted_ids(labels))))
-    least = math.floor(THRESHOLD * SCALE)
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, from one more pass over their texts."""
+    rows, score = scored(docs, labels)
+    least = threshold_of(rows, labels)
 
     def run(batches):
         from nubes.llm.blocks import slices
 
         for batch in batches:
             for part in slices(batch, "text"):
-                block = Block(part.column(part.schema.get_field_index("text")))
-                out = base_counts(block)
-                buckets, texts = hashed_ngrams(block)
-                total = np.zeros(block.n, np.int64)
-                np.add.at(total, texts, weights.value[buckets])
-                grams = np.bincount(texts, minlength=block.n)
-                failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED * out["n_words"])
-                yield part.filter(pa.array(~failed & (total >= least * grams)))
+                _, failed, scores = score(Block(part.column(part.schema.get_field_index("text"))))
+                yield part.filter(pa.array(~failed & (scores >= least)))
 
     return docs.mapInArrow(run, docs.schema)
