@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nubes.llm import bpe, jaccard, lines, mixing, quality
+from nubes.plans.ordered import ranked
 from nubes.plans.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,18 +31,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``row``, a number of each row's own in the order of id and text hash; equal rows differ in it."""
+    order = ["doc_id", "hash", "lang", "source", "n_chars"]
+    rows = ranked(docs.select(*COLUMNS).withColumn("hash", F.sha2("text", 256)), [], order, "row").drop("hash")
+    return Scratch(docs.sparkSession, name).keep(rows.withColumn("row", F.col("row").cast("long")), "rows")
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of similar documents the one with the smallest id stays; rows that repeat its id count once."""
-    docs = docs.select(*COLUMNS)
-    keep = jaccard.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of every component of similar documents the one with the smallest id stays.
+
+    Rows are told apart by a number of their own: rows that share an id go only where their texts are linked or equal.  A row
+    with a null id is linked to nothing and stays; so does every row whose text has no word.
+    """
+    rows = _numbered(docs, "similar")
+    known = rows.where("doc_id IS NOT NULL")
+    keep = jaccard.similar_documents(known.select(F.col("row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return known.join(keep, "row", "left_semi").select(*COLUMNS).unionAll(rows.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, cut to whole words where it takes a part."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix_sources(docs, _labels(spark, sf_dir)).where("taken > 0").select(F.col("doc_id").alias("of"), "size", "taken")
-    rows = docs.join(taken, F.col("doc_id") == F.col("of")).withColumn("words", F.explode(F.expr("concat(array_repeat(size, int(taken div size)), filter(array(taken % size), x -> x > 0))")))
+    """Each row as often as the mix takes it, cut to whole words where it takes a part."""
+    docs = _numbered(docs, "mixed")
+    taken = mixing.mix_sources(docs, _labels(spark, sf_dir), "row").where("taken > 0").select(F.col("row").alias("of"), "size", "taken")
+    rows = docs.join(taken, F.col("row") == F.col("of")).withColumn("words", F.explode(F.expr("concat(array_repeat(size, int(taken div size)), filter(array(taken % size), x -> x > 0))")))
     # the first words of a text: every word with the white space before it
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("words").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))

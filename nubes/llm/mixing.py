@@ -27,8 +27,8 @@ def words_in(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size and sampling key ``k`` of every row.
+def sized(docs: DataFrame, labels: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, source, size, sampling key ``k`` and the ``extra`` columns of every row.
 
     ``k`` is in [0, 1): the exponential key e mapped to e / (1 + e), which keeps its order.
     """
@@ -37,7 +37,7 @@ def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("labelled"))
         .agg(F.min("quality").alias("quality"))
     )
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), *extra)
     # 13 hex digits of MD5 as a fraction; the half step keeps it off 0 and 1
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
     u = (digits + 0.5) / F.lit(float(1 << 52))
@@ -45,7 +45,7 @@ def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
     e = -F.log(u) / weight
     return (
         base.join(quality, base.doc_id == quality.labelled, "left")
-        .select("doc_id", "source", "size", (e / (1 + e)).alias("k"))
+        .select("doc_id", "source", "size", (e / (1 + e)).alias("k"), *extra)
         .withColumn("slot", F.least(F.floor(F.col("k") * RANGES), F.lit(RANGES - 1)).cast("int"))
     )
 
@@ -70,16 +70,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text).
+def mix_sources(docs: DataFrame, labels: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, size, source_size, target, the ``extra`` columns and taken for every row of ``docs`` (doc_id, source, text).
 
     ``taken`` counts words, repeats included: whole epochs times the size, plus the size once more for documents before the
     end of the budget, plus a part of the document at its end.  Null texts have size 0 and nothing is taken of them; null
     sources form one source, last in order; rows with equal ids tie in key and share their place in any order, so for
-    repeated rows only the multiset of results is defined.  Labels that disagree count as the lower one.
+    repeated rows only the multiset of results is defined, unless ``extra`` columns tell them apart.  Labels that disagree count as the lower one.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = scratch.keep(sized(docs, labels), "sizes")
+    sizes = scratch.keep(sized(docs, labels, *extra), "sizes")
     targets = source_targets(sizes)
     goal = targets.select(
         F.col("source").alias("of"), "source_size", "target",
@@ -97,10 +97,10 @@ def mix_sources(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = sizes.join(ends, F.col("source").eqNullSafe(F.col("of")))
     at_end = F.col("slot").eqNullSafe(F.col("end_slot"))
     edge = rows.where(at_end)
-    inside = Window.partitionBy("source").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("k", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("end_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - start))
-    columns = ["doc_id", "size", "source_size", "target"]
+    columns = ["doc_id", "size", "source_size", "target", *extra]
     edge = edge.withColumn("once", part).select(*columns, (F.col("epochs") * F.col("size") + F.col("once")).cast("long").alias("taken"))
     below = F.when(F.col("end_slot").isNull() & (F.col("budget") <= 0), 0).when(F.col("end_slot").isNull() | (F.col("slot") < F.col("end_slot")), F.col("size")).otherwise(0)
     rest = rows.where(~at_end).select(*columns, (F.col("epochs") * F.col("size") + below).cast("long").alias("taken"))
