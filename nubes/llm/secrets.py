@@ -24,8 +24,8 @@ FORMATS = {
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "assigned": r"""(?<=[=:]\s{0,2}["']?)(?<![A-Za-z0-9+/_.-])(?=[A-Za-z_.+/-]{0,40}[0-9])[A-Za-z0-9+/_.-]{16,128}""",
-    "hex": r"\b(?=[a-fA-F]{0,20}[0-9])[0-9a-fA-F]{32,64}\b",
+    "assigned": r"""(?<=[=:]\s{0,2}["']?)(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}""",
+    "hex": r"\b[0-9a-fA-F]{32,}\b",
 }
 CANDIDATE = "|".join(FORMATS.values())
 #: Words that speak for a secret, or against one, near a candidate or in a path; common words for coverage.
@@ -89,6 +89,9 @@ def labelled_findings(spark: SparkSession, n: int = 1200) -> DataFrame:
     i = F.col("id")
     md5, sha = F.md5(i.cast("string")), F.sha1(i.cast("string"))
     mixed = F.translate(F.base64(F.unhex(F.sha2(i.cast("string"), 256))), "=", "")
+    long = F.translate(F.base64(F.unhex(F.concat(F.sha2(i.cast("string"), 512), F.sha2(F.concat(i.cast("string"), F.lit("b")), 512)))), "\r\n", "")
+    plain = F.translate(mixed, "0123456789+/", "qXzJkVbWyHgR")
+    word = F.element_at(F.array(*map(F.lit, ("archive", "general", "harbour", "measure", "reading", "station", "winter", "language"))), (F.pmod(F.xxhash64(i), F.lit(8)) + 1).cast("int"))
     cases = [  # value, before, after, path, label
         (sha, 'of the token = "', '" and on', "src/app", 1), (md5, "api_key: ", "\n", "src/main", 1), (mixed, 'secret = "', '"', "deploy", 1),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(md5, 1, 16))), "access ", " end", "src/app", 1), (F.concat(F.lit("ghp_"), F.substring(F.translate(mixed, "+/", "ab"), 1, 36)), "auth ", "", "ci", 1),
@@ -96,6 +99,10 @@ def labelled_findings(spark: SparkSession, n: int = 1200) -> DataFrame:
         (sha, "commit ", " fixed", "log", 0), (md5, "md5 ", " file", "dist", 0), (F.sha2(i.cast("string"), 256), "sha256: ", "\n", "package", 0), (F.concat(F.substring(md5, 1, 8), F.lit("-"), F.substring(md5, 9, 4), F.lit("-"), F.substring(md5, 13, 20)), "uuid: ", "", "src", 0),
         (sha, "checksum = ", " ", "lib", 0), (F.concat(F.lit("your-secret-token-here-"), i.cast("string")), "token: ", "", "doc/example", 0), (F.concat(F.lit("example.config.value."), i.cast("string")), 'key = "', '"', "test/sample", 0),
         (F.concat(F.lit("static/images/index"), i.cast("string"), F.lit(".default.png")), "src: ", "", "web", 0), (F.concat(F.lit("changeme-password-"), i.cast("string")), "password: ", "", "test", 0), (md5, "etag: ", "", "http", 0),
+        # of any length, with digits or none
+        (long, 'private_key = "', '"', "src/app", 1), (plain, "api_key: ", "\n", "src/main", 1), (F.sha2(i.cast("string"), 512), 'secret = "', '"', "deploy", 1),
+        (F.sha2(i.cast("string"), 512), "sha512: ", " file", "package", 0), (F.sha2(i.cast("string"), 512), "digest ", "\n", "lib", 0), (F.concat(F.lit("//www."), word, F.lit(".org/"), word, F.lit("/index")), "see http:", " for", "web", 0),
+        (F.concat(word, F.lit("_"), word, F.lit("_value")), "name = ", "\n", "src", 0), (F.concat(word, F.lit("-"), word, F.lit("-"), word), "title: ", " and", "", 0),
     ]
     pick = F.pmod(i, F.lit(len(cases)))
     column = lambda k: reduce(lambda a, c: F.when(pick == c[0], c[1][k] if not isinstance(c[1][k], str) else F.lit(c[1][k])).otherwise(a), enumerate(cases), F.lit(None))
