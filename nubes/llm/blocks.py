@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+#: Bytes that one polynomial hash covers at most.
+RUN = 32
 #: What Spark hands a Python worker at once, long texts or short.
 BATCH_BYTES = "8m"
 
@@ -131,10 +133,25 @@ class Block:
         return total[self.at[1:]] - total[self.at[:-1]]
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of the bytes of each span; equal bytes give equal hashes wherever they stand."""
+        """64-bit hash of the bytes of each span; equal bytes give equal hashes wherever they stand.
+
+        Polynomials modulo 2**64 of long strings collide by construction (Thue-Morse), so they cover ``RUN`` bytes at most; a longer
+        span is the sum of its runs' hashes, each mixed with its place.
+        """
         if self._sums is None:
             self._sums = running(_BYTE_CODE[self.data])
-        return spans(self._sums, starts, ends)
+        length = ends - starts
+        out = spans(self._sums, starts, np.minimum(ends, starts + RUN))
+        long = np.flatnonzero(length > RUN)
+        if len(long):
+            runs = -(-length[long] // RUN)
+            first = np.cumsum(runs) - runs
+            place = np.arange(runs.sum()) - np.repeat(first, runs)
+            begin = np.repeat(starts[long], runs) + RUN * place
+            each = spans(self._sums, begin, np.minimum(begin + RUN, np.repeat(ends[long], runs)))
+            sums = np.add.reduceat(mix(each ^ mix(place.astype(np.uint64) + U64(1))), first)
+            out[long] = mix(sums + length[long].astype(np.uint64))
+        return out
 
     def word_hashes(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)

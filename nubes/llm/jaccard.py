@@ -22,16 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import as_signed, Block, bound_batches, lists, map_blocks, mix, shingle_sets, slices, U64
-from nubes.llm.components import meetings, resolve
+from nubes.llm.blocks import as_signed, Block, bound_batches, mix, shingle_sets, slices, U64
+from nubes.llm.groups import incidences, passing, resolve, sketch
 from nubes.plans.scratch import Scratch
 
 WORDS = 5
 FREQUENT = 1 << 17
 #: A token counts as frequent from so many sets on.
 FREQUENT_FROM = 32
-#: Ids sent to every task when sets are built again for verification; beyond it the texts are joined with them.
-BROADCAST_IDS = 2_000_000
 
 
 def counted(tokens: np.ndarray, times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,42 +45,45 @@ def counted(tokens: np.ndarray, times: np.ndarray, most: int) -> tuple[np.ndarra
     return tokens, times
 
 
-def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that equal sets share."""
-    one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-    two = np.array([mix(s ^ U64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
-    return as_signed(mix(one)), as_signed(mix(two))
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit number that equal sets share and other sets do not."""
+    return as_signed(mix(np.array([mix(s ^ U64(0xA5A5A5A5)).sum(dtype=np.uint64) + U64(len(s)) for s in sets], np.uint64)))
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """Per text doc_id, n, fp1, fp2; besides, per task, counters (token, times) with a null n."""
+    """Per text doc_id, n, item (its set's fingerprint) and sketch (once a task and set); besides, per task, counters (token, times) with a null n."""
 
     def run(batches):
         seen, held_t, held_c, held = set(), [], [], 0
-        none = lambda k: pa.nulls(k, pa.int64())
-        names = ["doc_id", "n", "fp1", "fp2", "token", "times"]
+        none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
+        names = ["doc_id", "n", "item", "sketch", "token", "times"]
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            return counted(np.concatenate([*held_t, *(x for x, _ in held_c)]), np.concatenate([np.ones(held, np.int64), *(y for _, y in held_c)]), FREQUENT)
+
         for batch in batches:
             for part in slices(batch, "text"):
                 block = Block(part.column(1), lower=True)
                 sets = shingle_sets(block, block.words, WORDS)
-                fp1, fp2 = fingerprints(sets)
-                k = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp1), pa.array(fp2), none(k), none(k)], names)
-                for s, f in zip(sets, fp1.tolist()):
-                    if f not in seen and len(s):
+                items, sketches = fingerprints(sets), []
+                for s, f in zip(sets, items.tolist()):
+                    new = len(s) and f not in seen
+                    sketches.append(sketch(s) if new else None)
+                    if new:
                         seen.add(f)
                         held_t.append(s)
                         held += len(s)
+                k = len(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(items), pa.array(sketches, pa.binary()), none(k), none(k)], names)
                 if held > 1 << 20:
-                    t, c = counted(np.concatenate([np.concatenate(held_t), *(x for x, _ in held_c)]), np.concatenate([np.ones(held, np.int64), *(y for _, y in held_c)]), FREQUENT)
-                    held_t, held_c, held = [], [(t, c)], 0
+                    held_t, held_c, held = [], [summed()], 0
         if held or held_c:
-            t, c = counted(np.concatenate([*held_t, *(x for x, _ in held_c)]), np.concatenate([np.ones(held, np.int64), *(y for _, y in held_c)]), FREQUENT)
+            t, c = summed()
             t, c = t[c > 1], c[c > 1]
             k = len(t)
-            yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), none(k), pa.array(as_signed(t)), pa.array(c)], names)
+            yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), none(k, pa.binary()), pa.array(as_signed(t)), pa.array(c)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, token long, times long")
+    return docs.mapInArrow(run, "doc_id long, n long, item long, sketch binary, token long, times long")
 
 
 def keys_of(s: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarra
 
 
 def join_keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
-    """n, fp1, fp2, keys (array<long>) and sketch of texts with two tokens or more; equal sets of a task appear once."""
+    """key, item, size of texts with two tokens or more; equal sets of a task appear once."""
     table = docs.sparkSession.sparkContext.broadcast((frequent, place))
 
     def run(batches):
@@ -134,78 +135,40 @@ def join_keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataF
             for part in slices(batch, "text"):
                 block = Block(part.column(1), lower=True)
                 sets = shingle_sets(block, block.words, WORDS)
-                fp1, fp2 = fingerprints(sets)
                 rows = []
-                for i, s in enumerate(sets):
-                    f = (fp1[i], fp2[i])
+                for s, f in zip(sets, fingerprints(sets).tolist()):
                     if len(s) > 1 and f not in seen:
                         seen.add(f)
-                        rows.append((len(s), *f, keys_of(s, *table.value), sketch(s)))
+                        rows.append((f, len(s), keys_of(s, *table.value)))
                 if rows:
-                    n, a, b, keys, sketches = zip(*rows)
-                    columns = [pa.array(x, pa.int64()) for x in (n, a, b)]
-                    columns += [lists([as_signed(k) for k in keys], pa.int64()), pa.array(sketches, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["n", "fp1", "fp2", "keys", "sketch"])
-
-    return docs.mapInArrow(run, "n long, fp1 long, fp2 long, keys array<long>, sketch binary")
-
-
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) whose id is among ``ids`` (item): by a broadcast below a size, else by a join."""
-    if (n := ids.count()) <= BROADCAST_IDS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], np.int64)) if n else np.zeros(0, np.int64))
+                    items, sizes, keys = zip(*rows)
+                    each = [len(k) for k in keys]
+                    columns = [as_signed(np.concatenate(keys)), np.repeat(np.array(items, np.int64), each), np.repeat(np.array(sizes, np.int32), each)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "item", "size"])
 
-        def run(batches):
-            for batch in batches:
-                mine = batch.column(0)
-                yield batch.filter(pa.array(np.isin(np.asarray(mine.fill_null(0)), known.value) & np.asarray(mine.is_valid())))
+    return docs.mapInArrow(run, "key long, item long, size int")
 
-        return docs.mapInArrow(run, docs.schema)
-    return docs.join(ids.select(F.col("item").alias("doc_id")), "doc_id", "left_semi")
 
-
-def token_sets(docs: DataFrame) -> DataFrame:
-    """item, tokens (binary, sorted 64-bit hashes) of every text."""
-
-    def run(part):
-        block = Block(part.column(1), lower=True)
-        sets = shingle_sets(block, block.words, WORDS)
-        return {"item": part.column(0), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
-
-    return map_blocks(docs, "text", run, "item long, tokens binary")
-
-
-def sketch(s: np.ndarray) -> bytes:
-    """How many tokens of a set fall into each hash bucket, a byte a bucket; empty if a count doesn't fit.
-
-    Sums of bucket-wise minima bound an intersection from above, so pairs that fail on them need no look at their tokens.
-    Buckets follow the size, a few tokens each; the larger of two sketches folds onto the smaller.
-    """
-    buckets = max(64, 1 << max(0, (len(s) // 4 - 1)).bit_length())
-    counts = np.bincount((s & U64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
-
-
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) whose sketches (item, size, sketch) don't rule them out."""
+def token_sets(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """item, content (binary, sorted 64-bit hashes) of the sets that ``items`` (item) names, and of few others."""
+    wanted = passing(items)
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            sizes = [np.asarray(batch.column(i)) for i in (2, 3)]
-            keep = np.ones(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint8) for k in (4, 5))
-                if len(x) and len(y):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)
-                    most = int(np.minimum(x, y).sum())
-                    keep[i] = 100 * most >= percent * (int(sizes[0][i]) + int(sizes[1][i]) - most)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+            for part in slices(batch, "text"):
+                block = Block(part.column(1), lower=True)
+                sets = shingle_sets(block, block.words, WORDS)
+                rows = []
+                fp = fingerprints(sets)
+                for s, f, take in zip(sets, fp.tolist(), wanted(fp).tolist()):
+                    if take and f not in seen:
+                        seen.add(f)
+                        rows.append((f, s.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary()))], ["item", "content"])
 
-    one, two = sketches.toDF("a", "size_a", "sketch_a"), sketches.toDF("b", "size_b", "sketch_b")
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return docs.mapInArrow(run, "item long, content binary").groupBy("item").agg(F.first("content").alias("content"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -230,36 +193,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
-def linked_sets(left: list[bytes], right: list[bytes], may: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the pairs in ``may`` with 100 * intersection >= percent * union, by one index of the right tokens."""
-    sets = [np.frombuffer(y, np.uint64) for y in right]
-    sizes = np.array([len(y) for y in sets], np.int64)
-    tokens, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    found = [np.zeros((0, 2), np.int64)]
-    for i in np.flatnonzero(may.any(axis=1)):
-        x = np.frombuffer(left[i], np.uint64)
-        low = np.searchsorted(tokens, x)
-        n = np.searchsorted(tokens, x, "right") - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        j = np.flatnonzero(may[i] & (both > 0) & (100 * both >= percent * (len(x) + sizes - both)))
-        found.append(np.stack([np.full(len(j), i), j], axis=1))
-    out = np.concatenate(found)
-    return out[:, 0], out[:, 1]
-
-
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Null texts and texts without words have the empty set, link with nothing and are their own component; texts of fewer
-    than five words have their whole sequence as the one shingle.  Repeated rows of one text are linked.  A row with a null
-    doc_id is linked to nothing and has a null component.  Other columns are not read; an empty table gives an empty result.
+    than five words have their whole sequence as the one shingle.  Texts of any length are read whole.  Repeated rows of one
+    text are linked.  A row with a null doc_id is linked to nothing and has a null component.  Other columns are not read; an
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    scratch = Scratch(spark, "jaccard")
+    bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")
     first = scratch.keep(first_pass(docs), "first")
@@ -269,27 +212,16 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     )
     frequent = np.asarray(top["token"]).astype(np.int64).view(np.uint64)[::-1]
     order = np.argsort(frequent)
-    texts = first.where("n IS NOT NULL")
-    classes = scratch.keep(texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("item"), F.first("n").alias("size")), "classes")
-    keyed = join_keys(known, frequent[order], order).groupBy("fp1", "fp2").agg(F.first(F.struct("keys", "sketch")).alias("x"))
-    keyed = scratch.keep(keyed.join(classes, ["fp1", "fp2"]).select("item", "size", "x.keys", "x.sketch"), "keyed")
-    met = meetings(keyed.select(F.explode("keys").alias("key"), "item", "size"), scratch, "met")
-    sketches = keyed.select("item", "size", "sketch")
-    turns = iter(range(9))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        name = f"possible_{next(turns)}"
-        left = scratch.keep(possible(pairs, sketches), name)
-        ids = left.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        return verified(left, scratch.keep(token_sets(only(known, ids)), f"sets_{name}"))
-
-    def contents(items: DataFrame) -> DataFrame:
-        return scratch.keep(token_sets(only(known, items)), "sets_blocks").withColumnRenamed("tokens", "content")
-
-    fits = (4 * F.col("size_a") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size_a"))
-    joined = scratch.keep(resolve(met, verify, fits, scratch, contents, linked_sets), "components")
-    roots = classes.join(joined, "item", "left").select("fp1", "fp2", F.coalesce("component", "item").alias("component_id"))
-    linked = texts.where("n > 0 AND doc_id IS NOT NULL").join(roots, ["fp1", "fp2"], "left")
-    alone = texts.where("NOT (n > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))
+    texts = first.where("n IS NOT NULL").select("doc_id", "n", "item", "sketch")
+    linked = F.expr("n > 0 AND doc_id IS NOT NULL")
+    classes = texts.where(linked).groupBy("item").agg(F.min("doc_id").alias("root"), F.first("n").alias("size"), F.first("sketch", ignorenulls=True).alias("content"))
+    classes = scratch.keep(classes, "classes")
+    inc = incidences(join_keys(known, frequent[order], order), scratch, "incidences")
+    joined = scratch.keep(resolve(inc, classes.select("item", "size", "content"), lambda items: token_sets(known, items), verified, scratch), "components")
+    own = classes.select("item", "root").join(joined, "item", "left").select("item", "root", F.coalesce("component", "item").alias("component"))
+    least = own.groupBy(F.col("component").alias("of")).agg(F.min("root").alias("component_id"))
+    roots = own.join(least, F.col("component") == F.col("of")).select(F.col("item").alias("of"), "component_id")
+    found = texts.where(linked).join(roots, F.col("item") == F.col("of"), "left")
+    alone = texts.where(~linked).withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
-    return linked.select(*columns).unionAll(alone.select(*columns))
+    return found.select(*columns).unionAll(alone.select(*columns))

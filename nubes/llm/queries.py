@@ -44,10 +44,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per paragraph with a copy or near copy: its document, number, component, the kept one, and whether it goes."""
-    groups = paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    """A row per paragraph, or piece of a passage, with a copy or near copy: its document, kind, number, component, the kept one, and whether it goes."""
+    groups = paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"), passages=True)
     return groups.select(
-        "doc_id", F.col("no").alias("paragraph"), "component", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("keeper.no").alias("kept_paragraph"),
+        "doc_id", "kind", F.col("no").alias("unit"), "component", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("keeper.no").alias("kept_unit"),
         F.expr("struct(doc_id, no) <> keeper").alias("removed"),
     )
 

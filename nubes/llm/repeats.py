@@ -17,14 +17,14 @@ from nubes.plans.scratch import Scratch
 BROADCAST_ITEMS = 2_000_000
 
 
-def grouped(occurrences: DataFrame, joined: DataFrame) -> DataFrame:
-    """doc_id, no, item, component, keeper (doc_id, no) of every occurrence whose group has another one."""
+def grouped(occurrences: DataFrame, joined: DataFrame, more: list[str] = []) -> DataFrame:
+    """doc_id, no, item, component, keeper (doc_id, no), and columns ``more``, of every occurrence whose group has another one."""
     root = joined.select(F.col("item").alias("of"), "component")
-    rows = occurrences.select("doc_id", "no", "item").join(root, F.col("item") == F.col("of"), "left")
-    rows = rows.select("doc_id", "no", "item", F.coalesce("component", "item").alias("component"))
+    rows = occurrences.select("doc_id", "no", "item", *more).join(root, F.col("item") == F.col("of"), "left")
+    rows = rows.select("doc_id", "no", "item", *more, F.coalesce("component", "item").alias("component"))
     # copies of one item can fill a third of the table: counts and firsts are combined before the shuffle
     first = rows.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("doc_id", "no")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, F.col("component") == F.col("c")).select("doc_id", "no", "item", "component", "keeper")
+    return rows.join(first, F.col("component") == F.col("c")).select("doc_id", "no", "item", "component", "keeper", *more)
 
 
 def removals(groups: DataFrame) -> DataFrame:
