@@ -39,9 +39,9 @@ PERCENT = 75
 def incidences(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(rep, item) for the rows (key, item, size) whose key two items or more have; the representative is in its group too."""
     inside = Window.partitionBy("key").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    rows = members.select("item", F.first("item").over(inside).alias("rep")).where("item > rep")
-    pairs = scratch.keep(rows.groupBy("rep", "item").count().drop("count"), name)
-    return pairs.unionAll(pairs.select("rep", F.col("rep").alias("item")).distinct())
+    rows = members.select("item", F.first("item").over(inside).alias("rep")).where("item > rep").groupBy("rep", "item").count()
+    # one table instead of a union of two relations with one partitioning, whose partitions adaptive execution may change apart
+    return scratch.keep(rows.select("rep", F.explode(F.array("item", "rep")).alias("item")).distinct(), name)
 
 
 def sketch(s: np.ndarray) -> bytes:
