@@ -3,11 +3,12 @@
 Archives are plain files that Spark's own writers and readers move, so any file system that Spark knows will do:
 
 * ``write_monolithic``: the text writer with ``\\r\\n\\r\\n`` as line separator ends every record as WARC asks, and its gzip
-  codec makes each file a single stream.
+  codec makes each file a single stream.  A task begins a new file once one holds ``ARCHIVE_BYTES`` of records.
 * ``normalise``: reads each file as one binary value, inflates the stream once, piece by piece, and emits every record
-  deflated by itself with its place: the offset index.  Members are then written by the text writer as raw bytes.  A gzip
-  member ends with the high byte of its length, which is 0 below 16 MiB; longer records are cut over several members, as
-  gzip allows, so that a NUL separator restores exactly that last byte.
+  deflated by itself, and its place as a line of the index.  One write puts both into files, in the task that inflated them:
+  an archive is never dealt out again.  Members go through the text writer as raw bytes.  A gzip member ends with the high byte
+  of its length, which is 0 below 16 MiB; longer records are cut over several members, as gzip allows, so that a NUL separator
+  restores exactly that last byte.
 * ``read``: takes members out of the normalised files by the index, without inflating what stands before them.
 """
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nubes.llm.blocks import bound_batches
+
 CRLF = "\r\n"
 PIECE = 1 << 20
 MEMBER = (1 << 24) - 1
-#: Bytes of payload that one archive takes at most before a single larger record; bounds what a task holds.
+#: An archive that holds this many bytes of records, before compression, takes no further one; bounds what a task holds.
 ARCHIVE_BYTES = 24 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -71,9 +74,21 @@ def record_text(page_id: str = "page_id") -> F.Column:
 
 
 def write_monolithic(pages: DataFrame, path: str) -> None:
-    """A WARC record per page; each file is one gzip stream of about ``ARCHIVE_BYTES`` at most."""
-    rows = records(pages).select(record_text().alias("value"))
-    rows.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 4096).text(path)
+    """A WARC record per page; each file is one gzip stream of ``ARCHIVE_BYTES`` of records and one more at most."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = 0, 0
+        for batch in batches:
+            files = []
+            for size in batch.column(1).to_pylist():
+                file, held = (file + 1, 0) if held >= ARCHIVE_BYTES else (file, held)
+                held += size
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.int32())], ["value", "file"])
+
+    bound_batches(pages.sparkSession)
+    rows = records(pages).select(record_text().alias("value")).select("value", F.octet_length("value").alias("bytes"))
+    rows.mapInArrow(numbered, "value string, file int").write.mode("overwrite").partitionBy("file").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def _inflate(content: memoryview) -> Iterator[bytes]:
@@ -126,20 +141,23 @@ def _member(record: bytes) -> bytes:
     return b"".join(out)
 
 
-MEMBERS = "archive string, seq long, offset long, length long, record_type string, record_id string, digest string, member binary"
+MEMBERS = "kind string, archive string, seq long, value binary"
+INDEX = "archive string, seq long, offset long, length long, record_type string, record_id string, digest string"
 
 
 def members(spark, path: str) -> DataFrame:
-    """Every record of the archives below ``path`` as a gzip member, with its archive, offset and length."""
+    """For every record of the archives below ``path`` its gzip member without the last byte (kind members) and the line of the index (kind index)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                archive = name.rsplit("/", 1)[-1].split(".")[0]
+                folder, file = name.split("/")[-2:]
+                archive = f"{folder.removeprefix('file=')}-{file.split('.')[0]}"
                 offset, rows, held = 0, [], 0
                 for seq, (fields, record) in enumerate(_split(_inflate(memoryview(content.as_buffer())))):
                     member = _member(record)
-                    rows.append((archive, seq, offset, len(member), fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-payload-digest"), member))
+                    line = (seq, offset, len(member), *(fields.get(f"warc-{k}", "") for k in ("type", "record-id", "payload-digest")))
+                    rows += [("members", archive, seq, member[:-1]), ("index", archive, seq, "\t".join(map(str, line)).encode())]
                     offset += len(member)
                     held += len(member)
                     if held > PIECE:
@@ -148,7 +166,7 @@ def members(spark, path: str) -> DataFrame:
                 if rows:
                     yield _table(rows, MEMBERS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(run, MEMBERS)
 
 
@@ -158,20 +176,23 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
-def normalise(spark, source: str, target: str, index: str) -> DataFrame:
-    """Rewrites the archives below ``source`` with a member per record and writes the offset index; returns the index.
+def normalise(spark, source: str, target: str) -> DataFrame:
+    """Rewrites the archives below ``source`` with a member per record and the offset index beside them; returns the index.
 
-    The archive ``x`` becomes the one file below ``target/archive=x``.  Members pass from inflating to both writers through
-    one table beside the index, so no stream is inflated twice.
+    The archive ``x`` becomes the one file below ``target/kind=members/archive=x``, its index that below ``kind=index/archive=x``.
     """
-    held = f"{index}.members"
-    members(spark, source).write.mode("overwrite").parquet(held)
-    table = spark.read.schema(MEMBERS).parquet(held)
-    raw = F.expr("cast(substring(member, 1, length - 1) AS string)")  # bytes as they are; the separator is the last one
-    ordered = table.select(raw.alias("value"), "archive", "seq").repartition("archive").sortWithinPartitions("archive", "seq")
-    ordered.drop("seq").write.mode("overwrite").partitionBy("archive").option("lineSep", "\0").text(target)
-    table.drop("member").write.mode("overwrite").parquet(index)
-    return spark.read.parquet(index)
+    # bytes as they are; the separator is the last one of a member, and ends a line of the index
+    rows = members(spark, source).sortWithinPartitions("kind", "archive", "seq").select("kind", "archive", F.col("value").cast("string").alias("value"))
+    rows.write.mode("overwrite").partitionBy("kind", "archive").option("lineSep", "\0").text(target)
+    return read_index(spark, target)
+
+
+def read_index(spark, target: str) -> DataFrame:
+    """The index beside normalised archives, with the columns of ``INDEX``."""
+    lines = spark.read.schema("value string, archive string").option("basePath", f"{target}/kind=index").option("lineSep", "\0").text(f"{target}/kind=index")
+    cells = F.split("value", "\t")
+    names = [c.split(" ") for c in INDEX.split(", ")[1:]]
+    return lines.select("archive", *(cells[k].cast(kind).alias(name) for k, (name, kind) in enumerate(names)))
 
 
 READ = "archive string, record_type string, record_id string, refers_to string, digest string, payload_bytes long, payload binary"
@@ -200,9 +221,9 @@ def read(spark, target: str, index: DataFrame) -> DataFrame:
                     yield _table(rows, READ)
 
     archive = F.regexp_extract("path", r"archive=([^/]+)/", 1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(target)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{target}/kind=members")
     places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    # an archive's index is a fixed few thousand rows, as write_monolithic limits its records
+    # an archive's index is bounded, as write_monolithic limits its bytes
     joined = files.select(archive.alias("archive"), "content").join(places, "archive")
     return joined.select("archive", "content", "places").mapInArrow(run, READ)
 
@@ -215,7 +236,10 @@ def page_archive(pages: DataFrame, root: str) -> DataFrame:
     """
     spark = pages.sparkSession
     write_monolithic(pages, f"{root}/monolithic")
-    index = normalise(spark, f"{root}/monolithic", f"{root}/members", f"{root}/index")
+    # without records nothing is written
+    if pages.isEmpty():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    index = normalise(spark, f"{root}/monolithic", f"{root}/members")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'page:(-?[0-9]*)>', 1) AS bigint)")
     return read(spark, f"{root}/members", index).select(
         number("record_id").alias("page_id"), "payload_bytes",
