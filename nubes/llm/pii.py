@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+#: The same languages as EMAIL and IP, found in linear time: what stands before an @ is taken from the @ back, and a match of IP
+#: begins where a run of digits does, since a later digit of the run has the same continuation.
+BEFORE_AT = string.ascii_letters + string.digits + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 
 #: Labels of the field; the first is for words outside any span.
 LABELS = ("out", "person", "phone", "id", "email", "address")
@@ -42,12 +50,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping matches of ``EMAIL``."""
+    left, at = 0, text.find("@")
+    while at >= 0:
+        begin = left + len(text[left:at].rstrip(BEFORE_AT))
+        domain = DOMAIN.match(text, at + 1) if begin < at else None
+        if domain:
+            yield begin, domain.end()
+        left = domain.end() if domain else at + 1
+        at = text.find("@", left)
+
+
+def small_number(digits: str, most: int) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= len(str(most)) and int(digits or 0) <= most
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every pattern match that passes its check, by start, then kind."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    """(start, end, kind) of every pattern match that passes its check, by start, then kind; in time linear in the text."""
+    out = [(a, b, "email") for a, b in emails(text)]
+    out += [(m.start(), m.end(), "ip") for m in IP_RUNS.finditer(text) if all(small_number(p, 255) for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = NOT_DIGIT.sub("", m.group())
@@ -58,6 +81,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def apart_from(new: list[tuple[int, int, str]], old: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans of ``new`` that overlap none of ``old``; ``old`` is sorted by start."""
+    starts, reach = [a for a, _, _ in old], list(accumulate((b for _, b, _ in old), max))
+    # of those that begin before a span's end, the one that reaches furthest
+    return [s for s in new if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
+
+
 #: Sentences of the labelled table; {person}, {phone}, {id}, {email} and {address} are filled in.
 TEMPLATES = (
     "my name is {person} and I live at {address} since then", "please call {person} at {phone} before noon", "Contact: {person} , phone {phone}",
@@ -68,10 +98,25 @@ TEMPLATES = (
     "THE WORDS ARE!! IN CAPITALS!! HERE!!", "words%%% with*** marks&&& and$$$ more###", "one | two | three | four |", "Vièle aile menté de la elle.", "Den mit te ber auf verä das nicht.",
     "Ciónñue de coque una ñiear esuear.", "the order 48213 was sent in 3 boxes", "chapter 12 and page 304 , see above", "All rights reserved.", "Licensed under the Apache License, Version 2.0.",
     "hash 9f86d081884c7d65 of the file", "host 10.0.0.1 and port 8080", "a b c d e f g", "And And And And And And And", "Und Und Und Und Und", "To To To To To to to to", "He said that she would come . They went home .", "token = 5f2d8c3a1b of the day", "In the end 4242 4242 was all",
+    "ask for {person} in the office", "{person} wrote this in May", "as {person} said , it rained", "sold to {person} for a small sum", "the letter from {person} came late", "name: {person}", "Name: {person} , born in spring",
+    "he was seen with {person} near {address}", "our office is at {address} now", "deliver to {address} , second floor", "moved from {address} to {address}", "Address: {address}", "residence {address} , as before",
+    "phone: {phone}", "fax {phone} or mail", "ring {phone} after six", "Call {phone} now", "mobile {phone} , home {phone}", "number {phone} is not in use",
+    "tax number {id} of the firm", "ID: {id}", "account {id} was closed", "the card with {id} is blocked", "passport {id} , valid", "license {id} of {person}",
+    "contact {email} for more", "E-Mail: {email} , Tel: {phone}", "sent by {email} on Tuesday", "{email} is the sender", "reply to {person} under {email}",
+    "page 17 of 230 was missing", "the room 12 is on floor 3", "on 3 May 1987 they left", "about 40 people and 12 dogs", "see figure 3.2 and table 4", "Every day the sun rose over the hill .", "Once upon a time there was a house .",
+    "The end of the story is near . Nobody knows why .", "La maison est grande et belle .", "Das Haus ist klein und alt .", "La casa es vieja y grande .", "item 4 : two pens , one book", "ratio 3:4 or 0.75 of it", "at 12:45 the train left",
+)
+FIRST = (
+    "Anna", "Peter", "Maria", "John", "Julia", "Omar", "Lena", "Carlos", "Sofia", "Paul", "Emma", "Liam", "Noah", "Olivia", "Mia", "Lucas", "Ines", "Jorge", "Pierre", "Claire",
+    "Hans", "Greta", "Yusuf", "Aisha", "Wei", "Mei", "Ivan", "Olga", "Tom", "Kate", "Nina", "David", "Sarah", "Mark", "Laura", "Alice", "Robert", "Helen", "George", "Diana",
+)
+LAST = (
+    "Smith", "Müller", "García", "Dupont", "Rossi", "Novak", "Brown", "Silva", "Khan", "Weber", "Jones", "Taylor", "Davies", "Wilson", "Schmidt", "Fischer", "López", "Pérez", "Martin", "Bernard",
+    "Petit", "Moreau", "Kowalski", "Nowak", "Ivanov", "Petrov", "Chen", "Wang", "Singh", "Patel", "Kim", "Lee", "Nguyen", "Costa", "Santos", "Ferrari", "Bianchi", "Hansen", "Larsen", "Berg",
+)
+STREETS = (
+    "Main Street", "Oak Avenue", "High Road", "Park Lane", "Station Road", "Mill Street", "Church Road", "Elm Drive", "Cedar Court", "Lake View", "River Road", "Hill Street", "King Street", "Queen Avenue", "Maple Drive",
 )
-FIRST = ("Anna", "Peter", "Maria", "John", "Julia", "Omar", "Lena", "Carlos", "Sofia", "Paul")
-LAST = ("Smith", "Müller", "García", "Dupont", "Rossi", "Novak", "Brown", "Silva", "Khan", "Weber")
-STREETS = ("Main Street", "Oak Avenue", "High Road", "Park Lane", "Station Road")
 
 
 def labelled_sentences(spark: SparkSession, copies: int = 12) -> DataFrame:
@@ -270,7 +315,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with counts of base spans, their digest and all spans.
 
-    Null texts count as empty; repeated rows each get their row; a null doc_id stays null; an empty table gives an empty
+    Null texts count as empty; texts of any length are read whole, in linear time; repeated rows each get their row; a null doc_id stays null; an empty table gives an empty
     result.  Spans that the field adds never overlap a base span.  Offsets are code points, ends exclusive.
     """
     bound_batches(docs.sparkSession)
@@ -284,7 +329,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 texts = plain(part.column(1)).to_pylist()
                 base = [base_spans(t) for t in texts]
                 added = added_spans(shared.value, Block(part.column(1)), texts)
-                free = [[s for s in new if all(s[1] <= a or b <= s[0] for a, b, _ in old)] for new, old in zip(added, base)]
+                free = [apart_from(new, old) for new, old in zip(added, base)]
                 counts = {f"n_{kind}": pa.array([sum(s[2] == kind for s in found) for found in base], pa.int64()) for kind in KINDS}
                 digests = [hashlib.sha256(name(found).encode()).hexdigest() for found in base]
                 every = [name(sorted(old + new, key=lambda s: (s[0], order.index(s[2])))) for old, new in zip(base, free)]
