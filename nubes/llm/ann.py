@@ -38,7 +38,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     """
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding")).where("vec_id IS NOT NULL").where(F.coalesce(fine, F.lit(False)))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(kind).alias("embedding")).where("vec_id IS NOT NULL").where(F.coalesce(fine, F.lit(False)))
     top = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     return rows.where(F.size("embedding") == (top[0] if top else 0))
 
@@ -134,8 +135,11 @@ def scan(queries: np.ndarray, blocks: list[np.ndarray], norms: list[np.ndarray],
     return out
 
 
-def search(queries: DataFrame, chunks: DataFrame, rotation: np.ndarray, k: int) -> DataFrame:
-    """query_id, vec_id, score: for each query (list, query_ids, query_vectors) the k best of each chunk of its list, or fewer."""
+def search(queries: DataFrame, chunks: DataFrame, rotation: np.ndarray, k: int, kind: type = np.float32) -> DataFrame:
+    """query_id, vec_id, score: for each query (list, query_ids, query_vectors) the k best of each chunk of its list, or fewer.
+
+    Vectors are stored as ``kind``, the type of their table.
+    """
     dim = len(rotation)
     shared = queries.sparkSession.sparkContext.broadcast(rotation)
 
@@ -150,11 +154,11 @@ def search(queries: DataFrame, chunks: DataFrame, rotation: np.ndarray, k: int)
                 if key != current:
                     best, current = {}, key
                 qid = np.frombuffer(batch.column(1)[row].as_buffer(), np.int64)
-                raw_q = np.frombuffer(batch.column(2)[row].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64)
+                raw_q = np.frombuffer(batch.column(2)[row].as_buffer(), kind).reshape(-1, dim).astype(np.float64)
                 ids = np.frombuffer(batch.column(3)[row].as_buffer(), np.int64)
                 mark = (key, ids.tobytes())
                 if mark != last:
-                    raw = np.frombuffer(batch.column(4)[row].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64)
+                    raw = np.frombuffer(batch.column(4)[row].as_buffer(), kind).reshape(-1, dim).astype(np.float64)
                     turned = unit(raw) @ rotation
                     blocks = [np.ascontiguousarray(turned[:, i : i + BLOCK]) for i in range(0, dim, BLOCK)]
                     norms = [(b * b).sum(axis=1) for b in blocks]
@@ -199,6 +203,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall_log: list
     bound_batches(spark)
     scratch = Scratch(spark, "ann")
     base = usable(vectors)
+    kind = np.float32 if base.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     n = base.count()
     head = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -218,7 +223,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall_log: list
                     far = half - (unit(x) @ rotation) @ centroids.T
                     near = far.argmin(axis=1)[:, None] if many == 1 else np.tile(np.arange(lists), (len(x), 1)) if many >= lists else np.argpartition(far, many - 1, axis=1)[:, :many]
                     row = np.repeat(np.arange(len(x)), near.shape[1])
-                    blobs = [v.tobytes() for v in x.astype(np.float32)]
+                    blobs = [v.tobytes() for v in x.astype(kind)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(near.ravel().astype(np.int32)), part.column(0).take(pa.array(row)), pa.array([blobs[i] for i in row], pa.binary())], ["list", "id", "vector"]
                     )
@@ -234,14 +239,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall_log: list
     salts = max(1, n // (lists * CHUNK))
     chunks = scratch.keep(gathered(base, 1, CHUNK, salts, ("ids", "vectors")), "chunks")
     asked = usable(queries) if queries is not vectors else base
-    asked = asked.where(F.size("embedding") == dim)
+    asked = asked.where(F.size("embedding") == dim).withColumn("embedding", F.col("embedding").cast(base.schema["embedding"].dataType))
     first = gathered(asked, min(probes, lists), QUERIES, 1, ("query_ids", "query_vectors"))
-    found = scratch.keep(top(search(first, chunks, rotation, k), k), "found")
+    found = scratch.keep(top(search(first, chunks, rotation, k, kind), k), "found")
     short = asked.select("vec_id").distinct().join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left").where(f"coalesce(count, 0) < {min(k, n - 1)}").select("vec_id")
     short = scratch.keep(short, "short")
     if probes < lists and not short.isEmpty():
         again = gathered(asked.join(short, "vec_id", "left_semi"), lists, QUERIES, 1, ("query_ids", "query_vectors"))
-        found = top(found.drop("rank").unionByName(search(again, chunks, rotation, k)), k)
+        found = top(found.drop("rank").unionByName(search(again, chunks, rotation, k, kind)), k)
     if recall_log is not None:
         recall_log.append((lists, probes))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
