@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from nubes.llm.blocks import as_signed, Block, bound_batches, lists, mix, shingle_sets, slices, U64, windows
 from nubes.llm.groups import incidences, passing, resolve, sketch
 from nubes.llm.jaccard import verified
-from nubes.llm.repeats import grouped, line_block
+from nubes.llm.repeats import line_block
 from nubes.plans.scratch import Scratch
 
 WORDS = 5
@@ -141,6 +141,27 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "item long, size long, content binary")
 
 
+def repeated_units(rows: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, kind, no, item, size, component, keeper (doc_id, no) of every unit whose component has another one.
+
+    Most pieces occur once.  Only their items are shuffled to be counted; a filter of fixed size then lets the units of repeated
+    components pass, and few others, before anything wider is grouped or joined.
+    """
+    columns = ["doc_id", "kind", "no", "item", "size"]
+    root = joined.select(F.col("item").alias("of"), "component")
+    whole = rows.where("kind = 0").join(root, F.col("item") == F.col("of"), "left").select(*columns, F.coalesce("component", "item").alias("component"))
+    every = whole.unionAll(rows.where("kind = 1").select(*columns, F.col("item").alias("component")))
+    wanted = passing(every.groupBy(F.col("component").alias("item")).count().where("count > 1").select("item"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch.column(5).to_numpy())))
+
+    some = scratch.keep(every.mapInArrow(run, every.schema), "repeated")
+    first = some.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("doc_id", "no")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    return some.join(first, F.col("component") == F.col("c")).select(*columns, "component", "keeper")
+
+
 def repeated_paragraphs(docs: DataFrame, passages: bool = False) -> DataFrame:
     """doc_id, kind (0 paragraph, 1 piece of a passage), no, item, component, keeper (doc_id, no) of every unit that has a copy or near copy.
 
@@ -156,7 +177,7 @@ def repeated_paragraphs(docs: DataFrame, passages: bool = False) -> DataFrame:
     sets = scratch.keep(paragraph_sets(docs, inc.select("item").distinct()), "candidates")
     info = scratch.keep(sketches(sets), "sketches")
     joined = scratch.keep(resolve(inc, info, lambda items: sets.join(items, "item", "left_semi"), verified, scratch), "components")
-    groups = scratch.keep(grouped(rows, joined, ["kind", "size"]), "groups")
+    groups = scratch.keep(repeated_units(rows, joined, scratch), "groups")
     # runs of consecutive pieces of one document
     in_text = Window.partitionBy("doc_id")
     runs = groups.where("kind = 1").withColumn("run", F.col("no") - F.dense_rank().over(in_text.orderBy("no")))
@@ -174,6 +195,7 @@ def dedup_paragraphs(docs: DataFrame, passages: bool = False) -> DataFrame:
     """
     later = repeated_paragraphs(docs, passages).where("struct(doc_id, no) <> keeper")
     gone = later.groupBy(F.col("doc_id").alias("__gone_from")).agg(F.collect_set(F.struct("kind", "no", "item")).alias("__gone"))
+    docs = docs.drop("n_removed")
     rows = docs.join(gone, F.col("doc_id") == F.col("__gone_from"), "left").drop("__gone_from")
     schema = rows.drop("__gone").schema.add("n_removed", "long")
 
