@@ -12,25 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nubes.llm.blocks import Block, plain, slices
+from nubes.llm.groups import passing
 from nubes.plans.scratch import Scratch
 
-BROADCAST_ITEMS = 2_000_000
 
-
-def grouped(occurrences: DataFrame, joined: DataFrame, more: list[str] = []) -> DataFrame:
-    """doc_id, no, item, component, keeper (doc_id, no), and columns ``more``, of every occurrence whose group has another one."""
+def grouped(occurrences: DataFrame, joined: DataFrame) -> DataFrame:
+    """doc_id, no, item, component, keeper (doc_id, no) of every occurrence whose group has another one."""
     root = joined.select(F.col("item").alias("of"), "component")
-    rows = occurrences.select("doc_id", "no", "item", *more).join(root, F.col("item") == F.col("of"), "left")
-    rows = rows.select("doc_id", "no", "item", *more, F.coalesce("component", "item").alias("component"))
+    rows = occurrences.select("doc_id", "no", "item").join(root, F.col("item") == F.col("of"), "left")
+    rows = rows.select("doc_id", "no", "item", F.coalesce("component", "item").alias("component"))
     # copies of one item can fill a third of the table: counts and firsts are combined before the shuffle
     first = rows.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("doc_id", "no")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, F.col("component") == F.col("c")).select("doc_id", "no", "item", "component", "keeper", *more)
+    return rows.join(first, F.col("component") == F.col("c")).select("doc_id", "no", "item", "component", "keeper")
 
 
 def removals(groups: DataFrame) -> DataFrame:
-    """gone_from, gone: per document the (no, item) of occurrences that a smaller one stands for."""
+    """__gone_from, __gone: per document the (no, item) of occurrences that a smaller one stands for."""
     later = groups.where("struct(doc_id, no) <> keeper")
-    return later.groupBy(F.col("doc_id").alias("gone_from")).agg(F.sort_array(F.collect_list(F.struct("no", "item"))).alias("gone"))
+    return later.groupBy(F.col("doc_id").alias("__gone_from")).agg(F.sort_array(F.collect_list(F.struct("no", "item"))).alias("__gone"))
 
 
 def line_block(column: pa.Array) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,14 +43,16 @@ def line_block(column: pa.Array) -> tuple[Block, np.ndarray, np.ndarray, np.ndar
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` with an added ``n_removed`` and the given lines cut out of ``text``; the other lines keep their order.
 
-    A line goes only where number and content agree, so rows that share an id but not a text lose nothing by mistake.
+    A line goes only where number and content agree, so rows that share an id but not a text lose nothing by mistake.  A column
+    ``n_removed`` that ``docs`` has is replaced.
     """
-    rows = docs.join(gone, F.col("doc_id") == F.col("gone_from"), "left").drop("gone_from")
-    schema = rows.drop("gone").schema.add("n_removed", "long")
+    docs = docs.drop("n_removed")
+    rows = docs.join(gone, F.col("doc_id") == F.col("__gone_from"), "left").drop("__gone_from")
+    schema = rows.drop("__gone").schema.add("n_removed", "long")
 
     def run(batches):
         for batch in batches:
-            at, by = batch.schema.get_field_index("text"), batch.schema.get_field_index("gone")
+            at, by = batch.schema.get_field_index("text"), batch.schema.get_field_index("__gone")
             for part in slices(batch, "text"):
                 texts = part.column(at)
                 block, starts, ends, owner, no = line_block(texts)
@@ -73,25 +74,18 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """item, line (binary, A-Z in lower case) of the lines whose item is among ``items`` (item)."""
-    n = items.count()
-    known = None
-    if n <= BROADCAST_ITEMS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in items.toLocalIterator()], np.int64)) if n else np.zeros(0, np.int64))
+    """item, line (binary, A-Z in lower case) of the lines whose item is among ``items`` (item), and of few others."""
+    wanted = passing(items)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 block, starts, ends, _, _ = line_block(part.column(0))
-                own = block.span_hash(starts, ends).view(np.int64)
-                own, at = np.unique(own, return_index=True)
-                if known is not None:
-                    found = np.isin(own, known.value)
-                    own, at = own[found], at[found]
+                own, at = np.unique(block.span_hash(starts, ends).view(np.int64), return_index=True)
+                found = wanted(own)
+                own, at = own[found], at[found]
                 raw = block.data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([raw[starts[i] : ends[i]] for i in at], pa.binary())], ["item", "line"])
 
     lines = docs.select("text").mapInArrow(run, "item long, line binary")
-    if known is None:
-        lines = lines.join(items, "item", "left_semi")
     return scratch.keep(lines.groupBy("item").agg(F.first("line").alias("line")), "lines")
