@@ -35,9 +35,10 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, tie: list[str],
     rows = ranked(checked, family, [p, *tie], "rank_").join(sizes, family)
     rows = parts_in_order(rows.withColumn("scaled_", F.col(p) * F.col("m_") / F.col("rank_")), family, ["rank_"])
     least = rows.groupBy("part_", *family).agg(F.min("scaled_").alias("least_"))
-    later = Window.partitionBy(*family).orderBy("part_").rowsBetween(1, Window.unboundedFollowing)
+    # minima from the right as running minima of the mirrored order: a frame that shrinks would be computed anew for every row
+    later = Window.partitionBy(*family).orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1)
     after = least.select("part_", *family, F.min("least_").over(later).alias("after_"))
-    inside = Window.partitionBy("part_", *family).orderBy("rank_").rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy("part_", *family).orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("own_", F.min("scaled_").over(inside)).join(after, ["part_", *family])
     adjusted = F.least(F.col("own_"), F.coalesce("after_", F.lit(1.0)), F.lit(1.0))
     return out.withColumn("adjusted", adjusted).withColumn("reject", F.col("adjusted") <= alpha).select(*df.columns, "adjusted", "reject")
