@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (single-machine tests)."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset and everything runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} intermediate tables need a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/nubes-{spark.sparkContext.applicationId}"
     return named.rstrip("/")
 
