@@ -15,7 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Points of a side that a kernel sees at once.
 BLOCK = 512
+#: Clouds are dealt into this many blocks of ``BLOCK`` to ``LARGEST`` points: a vector travels as often as there are blocks.
+BLOCKS = 32
+LARGEST = 8192
+#: Tasks that merge the sums of all tasks before the last one does.
+MERGERS = 32
 
 
 def cloud(df: DataFrame, pid: str, vector: str) -> DataFrame:
@@ -28,9 +34,13 @@ def pooled(p: DataFrame, q: DataFrame) -> DataFrame:
     return p.select((F.col("pid") * 2).alias("pid"), "x").unionByName(q.select((F.col("pid") * 2 + 1).alias("pid"), "x"))
 
 
+def block_count(n: int) -> int:
+    return max(1, -(-n // min(LARGEST, max(BLOCK, n // BLOCKS))))
+
+
 def blocks(points: DataFrame, n: int, *extra: str) -> DataFrame:
     """(block, ids, xs and one list for each extra column), points dealt by a hash of their id; n is the cloud's size."""
-    count = max(1, -(-n // BLOCK))
+    count = block_count(n)
     number = F.pmod(F.xxhash64("pid"), F.lit(count)).cast("int")
     rows = points.groupBy(number.alias("block")).agg(F.collect_list(F.struct("pid", "x", *extra)).alias("rows"))
     return rows.select("block", F.col("rows.pid").alias("ids"), F.col("rows.x").alias("xs"), *(F.col(f"rows.{c}").alias(c) for c in extra))
@@ -52,51 +62,69 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_blocks(left: DataFrame, right: DataFrame, right_n: int, kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(ids_a, x_a, extra_a, ids_b, x_b, extra_b) -> dict`` over every pair of blocks; ``extra`` maps names to arrays."""
-    count = max(1, -(-right_n // BLOCK))
+def pair_blocks(left: DataFrame, right: DataFrame, right_n: int, kernel: Callable, schema: str, halved: bool = False) -> DataFrame:
+    """``kernel(ids_a, x_a, extra_a, ids_b, x_b, extra_b) -> dict`` over every pair of blocks, ``BLOCK`` points of a side at a time;
+    ``extra`` maps names to arrays.
+
+    ``halved``, for one cloud with itself: of two blocks or parts of a block one order only; a part meets itself as a whole.
+    """
+    count = block_count(right_n)
     names_a, names_b = left.columns, right.columns
-    dealt = left.select(*(F.col(c).alias(f"{c}_a") for c in names_a)).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    dealt = left.select(*(F.col(c).alias(f"{c}_a") for c in names_a))
+    dealt = dealt.withColumn("block_b", F.explode(F.sequence(F.col("block_a") if halved else F.lit(0), F.lit(count - 1))))
     met = dealt.join(right.select(*(F.col(c).alias(f"{c}_b") for c in names_b)), "block_b")
 
+    def side(at: dict, i: int, s: str, names: list[str]) -> list[tuple]:
+        ids, x = np.asarray(at["ids" + s][i].values), matrix(at["xs" + s], i)
+        extra = {c: np.asarray(at[c + s][i].values) for c in names if c not in ("block", "ids", "xs")}
+        return [(ids[k : k + BLOCK], x[k : k + BLOCK], {c: v[k : k + BLOCK] for c, v in extra.items()}) for k in range(0, len(ids), BLOCK)]
+
     def run(batches):
         for batch in batches:
             at = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                side = []
-                for s, names in (("_a", names_a), ("_b", names_b)):
-                    side += [np.asarray(at["ids" + s][i].values), matrix(at["xs" + s], i), {c: np.asarray(at[c + s][i].values) for c in names if c not in ("block", "ids", "xs")}]
-                out = kernel(*side)
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+                one, two = side(at, i, "_a", names_a), side(at, i, "_b", names_b)
+                again = halved and at["block_a"][i] == at["block_b"][i]
+                for k, a in enumerate(one):
+                    for b in two[k:] if again else two:
+                        out = kernel(*a, *b)
+                        if out is not None:
+                            yield pa.RecordBatch.from_pydict(out)
 
     return met.repartition(F.col("block_a"), F.col("block_b")).mapInArrow(run, schema) if count > 1 else met.mapInArrow(run, schema)
 
 
-def nearest_distances(points: DataFrame, k: int) -> DataFrame:
+def itself(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the parts of a halved pair are one and the same; parts of one cloud share no id otherwise."""
+    return len(a) == len(b) and a[0] == b[0]
+
+
+def nearest_distances(points: DataFrame, k: int, n: int | None = None) -> DataFrame:
     """(pid, near): the distances to the k nearest other points, ascending; fewer if the cloud is smaller.
 
-    The point itself is left out by id, so copies at distance 0 count.
+    The point itself is left out by id, so copies at distance 0 count.  ``n`` is the cloud's size, if it is known.
     """
-    n = points.count()
+    n = points.count() if n is None else n
     dealt = blocks(points, n)
 
     def kernel(a, x, _, b, y, __):
         d = np.sqrt(squared(x, y))
         d[a[:, None] == b[None, :]] = np.inf
-        m = min(k, d.shape[1])
-        d = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)
-        return {"pid": a, "near": pa.array(list(d), pa.list_(pa.float64()))}
+        found = []
+        for way in (d,) if itself(a, b) else (d, d.T):
+            m = min(k, way.shape[1])
+            found += list(np.sort(np.partition(way, m - 1, axis=1)[:, :m], axis=1))
+        return {"pid": a if itself(a, b) else np.concatenate([a, b]), "near": pa.array(found, pa.list_(pa.float64()))}
 
-    some = pair_blocks(dealt, dealt, n, kernel, "pid long, near array<double>")
+    some = pair_blocks(dealt, dealt, n, kernel, "pid long, near array<double>", halved=True)
     near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)
     return some.groupBy("pid").agg(F.filter(near, lambda v: v < float("inf")).alias("near"))
 
 
-def knn_radii(points: DataFrame, k: int) -> DataFrame:
+def knn_radii(points: DataFrame, k: int, n: int | None = None) -> DataFrame:
     """(pid, radius): the distance to the k-th nearest other point.  Raises where a point has no k others."""
     fail = F.raise_error(F.lit(f"k must lie in 1 .. n - 1, got {k}")).cast("double")
-    return nearest_distances(points, k).select("pid", F.when(F.size("near") >= k, F.element_at("near", k)).otherwise(fail).alias("radius"))
+    return nearest_distances(points, k, n).select("pid", F.when(F.size("near") >= k, F.element_at("near", k)).otherwise(fail).alias("radius"))
 
 
 def coverage(centers: DataFrame, queries: DataFrame, radii: list[str], atol: float = 1e-12) -> DataFrame:
@@ -112,51 +140,71 @@ def coverage(centers: DataFrame, queries: DataFrame, radii: list[str], atol: flo
     return inside.groupBy("pid").agg(*(F.bool_or(r).alias(r) for r in radii))
 
 
-def precision_recall(p: DataFrame, q: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    """k, precision (share of Q within P's k-NN balls), recall (share of P within Q's); all k in one pass over the pairs."""
+def precision_recall(p: DataFrame, q: DataFrame, ks: tuple[int, ...] = (1, 3, 10), atol: float = 1e-12) -> DataFrame:
+    """k, precision (share of Q within P's k-NN balls), recall (share of P within Q's); all k and both ways in one pass over the pairs."""
     names = [f"r{k}" for k in ks]
     fail = F.raise_error(F.lit("k must be under the size of both clouds")).cast("double")
 
-    def with_radii(points: DataFrame) -> DataFrame:
-        near = nearest_distances(points, max(ks))
+    n, m = p.count(), q.count()
+
+    def with_radii(points: DataFrame, size: int) -> DataFrame:
+        near = nearest_distances(points, max(ks), size)
         return points.join(near, "pid").select("pid", "x", *(F.when(F.size("near") >= k, F.element_at("near", k)).otherwise(fail).alias(f"r{k}") for k in ks))
 
-    def share(centers: DataFrame, queries: DataFrame, name: str) -> DataFrame:
-        means = coverage(with_radii(centers), queries, names).agg(*(F.avg(F.col(r).cast("int")).alias(r) for r in names))
-        return means.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias(name)) for k in ks))).alias("v")).select("v.*")
+    def kernel(a, x, of_a, b, y, of_b):
+        """Both ways at once: which points of Q lie in balls of P, and the other way round."""
+        d = np.sqrt(squared(x, y))
+        out = {"of_p": np.repeat([False, True], [len(b), len(a)]), "pid": np.concatenate([b, a])}
+        return out | {r: np.concatenate([(d <= of_a[r][:, None] + atol).any(axis=0), (d <= of_b[r][None, :] + atol).any(axis=1)]) for r in names}
+
+    schema = "of_p boolean, pid long, " + ", ".join(f"{r} boolean" for r in names)
+    inside = pair_blocks(blocks(with_radii(p, n), n, *names), blocks(with_radii(q, m), m, *names), m, kernel, schema)
+    inside = inside.groupBy("of_p", "pid").agg(*(F.bool_or(r).alias(r) for r in names))
+    mean = lambda of_p, r: F.avg(F.when(F.col("of_p") == of_p, F.col(r).cast("int")))
+    shares = inside.agg(*(mean(of_p, r).alias(f"{r}_{of_p}") for r in names for of_p in (False, True)))
+    cells = [F.struct(F.lit(k).alias("k"), F.col(f"r{k}_False").alias("precision"), F.col(f"r{k}_True").alias("recall")) for k in ks]
+    return shares.select(F.explode(F.array(*cells)).alias("v")).select("v.*")
 
-    return share(p, q, "precision").join(share(q, p, "recall"), "k")
 
+def pair_sums(left: DataFrame, right: DataFrame | None = None, gamma: float | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """One row: n (ordered pairs of different ids), all (pairs), d, d2 and, with gamma, e: sums over pairs of different ids.
 
-def pair_sums(left: DataFrame, right: DataFrame, gamma: float | None = None) -> DataFrame:
-    """One row: n (pairs of different ids), all (pairs), d, d2 and, with gamma, e: sums over pairs of different ids."""
-    m, n = left.count(), right.count()
+    Without ``right`` the pairs are those of ``left`` with itself, each computed once.  ``sizes`` are the clouds' sizes, if known.
+    """
+    m, n = sizes or (left.count(), (left if right is None else right).count())
+    alone = right is None
 
     def kernel(a, x, _, b, y, __):
         d2 = squared(x, y)
         other = a[:, None] != b[None, :]
+        times = 2 if alone and not itself(a, b) else 1
         e = np.exp(-gamma * d2)[other].sum() if gamma is not None else 0.0
-        return {"n": [int(other.sum())], "all": [d2.size], "d": [np.sqrt(d2)[other].sum()], "d2": [d2[other].sum()], "e": [e]}
+        return {"n": [times * int(other.sum())], "all": [times * d2.size], "d": [times * np.sqrt(d2)[other].sum()], "d2": [times * d2[other].sum()], "e": [times * e]}
 
-    sums = pair_blocks(blocks(left, m), blocks(right, n), n, kernel, "n long, all long, d double, d2 double, e double")
+    one = blocks(left, m)
+    sums = pair_blocks(one, one if alone else blocks(right, n), n, kernel, "n long, all long, d double, d2 double, e double", halved=alone)
     return sums.agg(*(F.sum(c).alias(c) for c in ("n", "all", "d", "d2", "e")))
 
 
-def median_distance(points: DataFrame) -> float | None:
+def median_distance(points: DataFrame, n: int | None = None) -> float | None:
     """Exact median distance of all pairs, in two passes: pair counts by the leading bits of the distance, then the values
     under the one or two leading bits where the middle lies.  Neither pass writes the pairs out.  None below two points."""
-    n = points.count()
+    n = points.count() if n is None else n
     pairs = n * (n - 1) // 2
     if not pairs:
         return None
     dealt = blocks(points, n)
 
+    def distances(a, x, b, y) -> np.ndarray:
+        d = np.sqrt(squared(x, y))
+        return d[np.triu_indices(len(a), 1)] if itself(a, b) else d.ravel()
+
     def histogram(a, x, _, b, y, __):
-        d = np.sqrt(squared(x, y))[a[:, None] < b[None, :]]
+        d = distances(a, x, b, y)
         bits, times = np.unique(d.view(np.int64) >> 40, return_counts=True)
         return {"bits": bits, "times": times}
 
-    counts = pair_blocks(dealt, dealt, n, histogram, "bits long, times long").groupBy("bits").agg(F.sum("times").alias("times"))
+    counts = pair_blocks(dealt, dealt, n, histogram, "bits long, times long", halved=True).groupBy("bits").agg(F.sum("times").alias("times"))
     # at most a few thousand bins for each power of two between the distances
     bins = sorted((r.bits, r.times) for r in counts.collect())
     ends = np.cumsum([t for _, t in bins])
@@ -165,11 +213,11 @@ def median_distance(points: DataFrame) -> float | None:
     wanted = np.array(sorted({bins[i][0] for i in at}))
 
     def values(a, x, _, b, y, __):
-        d = np.sqrt(squared(x, y))[a[:, None] < b[None, :]]
+        d = distances(a, x, b, y)
         d, times = np.unique(d[np.isin(d.view(np.int64) >> 40, wanted)], return_counts=True)
         return {"d": d, "times": times}
 
-    few = pair_blocks(dealt, dealt, n, values, "d double, times long").groupBy("d").agg(F.sum("times").alias("times"))
+    few = pair_blocks(dealt, dealt, n, values, "d double, times long", halved=True).groupBy("d").agg(F.sum("times").alias("times"))
     before = int(ends[at[0] - 1]) if at[0] else 0
     shares = [(r - before + 0.0) for r in ranks]
     rest = sum(t for v, t in bins if v in set(wanted.tolist()))
@@ -191,7 +239,7 @@ def smallest_distances(p: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, mean and covariance (ddof 1): block sums from every task, merged pairwise-stably on the driver (d x d numbers each)."""
+    """n, mean and covariance (ddof 1): every task's sums (d x d numbers), merged pairwise-stably by ``MERGERS`` tasks, then by one."""
 
     def run(batches):
         n, mean, m2 = 0, None, None
@@ -202,13 +250,22 @@ def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_pydict({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
 
-    parts = points.select("x").coalesce(64).mapInArrow(run, "n long, mean array<double>, m2 array<double>")
-    total = (0, None, None)
-    for r in parts.toLocalIterator():
-        mean = np.array(r.mean)
-        total = merged(total, (r.n, mean, np.array(r.m2).reshape(len(mean), -1)))
-    n, mean, m2 = total
-    return n, mean, m2 / max(n - 1, 1) if m2 is not None else None
+    def merge(batches):
+        total = (0, None, None)
+        for batch in batches:
+            for r in batch.to_pylist():
+                mean = np.array(r["mean"])
+                total = merged(total, (r["n"], mean, np.array(r["m2"]).reshape(len(mean), -1)))
+        if total[0]:
+            yield pa.RecordBatch.from_pydict({"n": [total[0]], "mean": [total[1].tolist()], "m2": [total[2].ravel().tolist()]})
+
+    schema = "n long, mean array<double>, m2 array<double>"
+    parts = points.select("x").mapInArrow(run, schema).repartition(MERGERS).mapInArrow(merge, schema)
+    last = parts.repartition(1).mapInArrow(merge, schema).first()
+    if last is None:
+        return 0, None, None
+    mean = np.array(last.mean)
+    return last.n, mean, np.array(last.m2).reshape(len(mean), -1) / max(last.n - 1, 1)
 
 
 def merged(one: tuple, two: tuple) -> tuple:

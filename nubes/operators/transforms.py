@@ -68,6 +68,16 @@ def angle_grid(n: int, full: float = 360.0) -> list[float]:
     return [i * full / n for i in range(n)]
 
 
+def angles_by_step(step: float = 10.0, start: float = 0.0, end: float = 360.0) -> list[float]:
+    """start, start + step and on, short of ``end``; by whole multiples."""
+    return [start + i * step for i in range(max(0, math.ceil((end - start) / step - 1e-12)))]
+
+
+def scale_grid(low: float = 0.6, high: float = 1.4, n: int = 9) -> list[float]:
+    """n scales from low to high, both included."""
+    return [low + (high - low) * i / (n - 1) if i < n - 1 else high for i in range(n)] if n > 1 else [low]
+
+
 def arc_angles(m: float, parts: int = 18) -> list[float]:
     """``parts`` + 1 angles over an arc of m degrees, by whole multiples so that no step drifts."""
     return [j * m / parts for j in range(parts + 1)]
@@ -151,3 +161,39 @@ def blur(images: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
         return pd.Series(out)
 
     return images.withColumn("pixels", soften("pixels"))
+
+
+def cubic(t: np.ndarray) -> np.ndarray:
+    """The cubic convolution kernel with a = -1/2; 1 at 0 and 0 at all other whole numbers."""
+    t = np.abs(t)
+    return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
+
+
+def resampling(height: int, width: int, angle: float = 0.0, scale: float = 1.0) -> np.ndarray:
+    """A matrix that takes flat pixels to those of the image turned by ``angle`` degrees against the clock and scaled about its middle.
+
+    What comes from outside the image is 0; the canvas keeps its size.
+    """
+    quarter = angle / 90.0
+    turn = math.radians(angle)
+    c, s = (round(math.cos(turn)), round(math.sin(turn))) if quarter == int(quarter) else (math.cos(turn), math.sin(turn))
+    y, x = np.divmod(np.arange(height * width), width)
+    y, x = y - (height - 1) / 2.0, x - (width - 1) / 2.0
+    # where each pixel of the result comes from; rows count downwards
+    from_x, from_y = (c * x - s * y) / scale + (width - 1) / 2.0, (s * x + c * y) / scale + (height - 1) / 2.0
+    rows, columns = cubic(from_y[:, None] - np.arange(height)), cubic(from_x[:, None] - np.arange(width))
+    return (rows[:, :, None] * columns[:, None, :]).reshape(height * width, height * width)
+
+
+def turned(pixels: Column, angle: Column, scale: Column, height: int, width: int) -> Column:
+    """Flat pixels (0 .. 255) of images turned and scaled; one product of matrices for each angle and scale in a batch."""
+
+    @F.pandas_udf("array<int>")
+    def turn(x: pd.Series, angle: pd.Series, scale: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), index=x.index, dtype=object)
+        for (a, k), rows in x.groupby([angle, scale]):
+            moved = np.stack(rows.to_numpy()).astype(np.float64) @ resampling(height, width, a, k).T
+            out[rows.index] = pd.Series(list(np.clip(np.rint(moved), 0, 255).astype(np.int32)), index=rows.index)
+        return out
+
+    return turn(pixels, angle.cast("double"), scale.cast("double"))

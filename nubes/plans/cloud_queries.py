@@ -42,11 +42,13 @@ def coverage_mask(spark, sf_dir):
 
 def mmd_value(p: DataFrame, q: DataFrame) -> DataFrame:
     """One row: gamma (1 / median squared of all pooled pairs) and the root of the unbiased squared discrepancy, 0 at least."""
-    median = clouds.median_distance(clouds.pooled(p, q))
+    n, m = p.count(), q.count()
+    median = clouds.median_distance(clouds.pooled(p, q), n + m)
     gamma = 1.0 / max(median**2, GAMMA_FLOOR)
-    mean = lambda a, b, n: clouds.pair_sums(a, b, gamma).select((F.col("e") / F.col(n)).alias("m"))
-    apart = clouds.pooled(p.limit(0), q)  # ids of Q that no point of P has, so that every cross pair counts
-    xx, yy, xy = mean(p, p, "n"), mean(q, q, "n"), mean(clouds.pooled(p, q.limit(0)), apart, "all")
+    mean = lambda sums, by: sums.select((F.col("e") / F.col(by)).alias("m"))
+    one, two = clouds.pooled(p, q.limit(0)), clouds.pooled(p.limit(0), q)  # ids that no point of the other side has, so that every cross pair counts
+    xx, yy = (mean(clouds.pair_sums(c, None, gamma, (k, k)), "n") for c, k in ((p, n), (q, m)))
+    xy = mean(clouds.pair_sums(one, two, gamma, (n, m)), "all")
     rows = xx.select(F.col("m").alias("xx")).crossJoin(F.broadcast(yy.select(F.col("m").alias("yy")))).crossJoin(F.broadcast(xy.select(F.col("m").alias("xy"))))
     return rows.select(F.lit(gamma).alias("gamma"), F.sqrt(F.greatest(F.lit(0.0), F.col("xx") + F.col("yy") - 2 * F.col("xy"))).alias("mmd"))
 
@@ -57,9 +59,10 @@ def mmd(spark, sf_dir):
 
 def energy_value(p: DataFrame, q: DataFrame) -> DataFrame:
     """2 mean d(P,Q) - mean d(P,P) - mean d(Q,Q), the zero diagonals included in the means."""
-    cross = clouds.pair_sums(clouds.pooled(p, q.limit(0)), clouds.pooled(p.limit(0), q))
+    n, m = p.count(), q.count()
+    cross = clouds.pair_sums(clouds.pooled(p, q.limit(0)), clouds.pooled(p.limit(0), q), None, (n, m))
     mean = lambda rows, name: rows.select((F.col("d") / F.col("all")).alias(name))
-    rows = mean(cross, "pq").crossJoin(F.broadcast(mean(clouds.pair_sums(p, p), "pp"))).crossJoin(F.broadcast(mean(clouds.pair_sums(q, q), "qq")))
+    rows = mean(cross, "pq").crossJoin(F.broadcast(mean(clouds.pair_sums(p, None, None, (n, n)), "pp"))).crossJoin(F.broadcast(mean(clouds.pair_sums(q, None, None, (m, m)), "qq")))
     return rows.select((2 * F.col("pq") - F.col("pp") - F.col("qq")).alias("energy"), F.col("pp").alias("mean_distance_p"))
 
 
@@ -77,7 +80,7 @@ def digamma(n: int) -> float:
 def entropy(points: DataFrame, k: int = 5) -> float:
     """Kozachenko-Leonenko entropy in nats from the distances to the k-th neighbours, 1e-12 at least."""
     n, d = points.agg(F.count("*"), F.max(F.size("x"))).first()
-    mean_log = clouds.knn_radii(points, k).agg(F.avg(F.log(F.greatest("radius", F.lit(1e-12))))).first()[0]
+    mean_log = clouds.knn_radii(points, k, n).agg(F.avg(F.log(F.greatest("radius", F.lit(1e-12))))).first()[0]
     return digamma(n) - digamma(k) + 0.5 * d * math.log(math.pi) - math.lgamma(0.5 * d + 1.0) + d * mean_log
 
 

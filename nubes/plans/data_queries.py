@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nubes.operators import generators, sampling, transforms
+from nubes.plans.ordered import order_statistics
 from nubes.plans.scratch import Scratch
-from nubes.sources import pairs, store
+from nubes.sources import grids, pairs, store
 from nubes.streaming import incremental
 
 
@@ -110,17 +111,85 @@ def image_sweep(spark, sf_dir):
     return out
 
 
+def turned_images(spark, sf_dir):
+    """The images of ``image_sweep`` turned by quarters: every image with every angle, and a sum of its pixels times their places."""
+    t = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    images = t.select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 64 + 128).cast("int")))).alias("pixels"))
+    swept = transforms.sweep(images, transforms.angle_grid(4)).withColumnRenamed("value", "angle")
+    out = swept.withColumn("pixels", transforms.turned(F.col("pixels"), F.col("angle"), F.lit(1.0), 8, 8))
+    return out.select("image_id", "angle", F.expr("aggregate(transform(pixels, (p, i) -> p * cast(i AS bigint)), 0L, (a, v) -> a + v)").alias("weighed"))
+
+
+def strongest_component(spark, sf_dir):
+    """The component of largest absolute mean of every label, ties to the first."""
+    t = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("label", F.posexplode("embedding").alias("i", "v"))
+    means = t.groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 9).alias("mean"))
+    top = means.groupBy("label").agg(F.max(F.struct(F.abs("mean").alias("size"), (-F.col("i")).alias("first"), "mean")).alias("top"))
+    return top.select("label", (-F.col("top.first")).alias("component"), F.col("top.mean").alias("mean"))
+
+
+def coerced_values(spark, sf_dir):
+    """Numbers out of texts where they are numbers: how many words of every document's start are, and their sum."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    words = d.select("lang", F.explode(F.split(F.translate(F.substring("text", 1, 400), ".,()", "    "), "[ \n]+")).alias("word")).where(F.col("word").rlike("^[0-9A-Za-z]{1,9}$"))
+    number = F.expr("try_cast(word AS int)")
+    return words.groupBy("lang").agg(F.count("*").alias("n"), F.count(number).alias("numbers"), F.sum(number.cast("long")).alias("total"))
+
+
+def share_of_largest(spark, sf_dir):
+    """Each document's size beside the largest of its source."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND n_chars IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", "n_chars")
+    largest = d.groupBy("source").agg(F.max("n_chars").alias("largest"))
+    return d.join(largest, "source").select("doc_id", "source", F.round(F.col("n_chars") / F.col("largest"), 9).alias("share"))
+
+
+def largest_duplicate_groups(spark, sf_dir):
+    """The ten texts that most documents have, ties to the smallest id."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    groups = d.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    return groups.orderBy(F.desc("n"), "first_doc").limit(10)
+
+
+def size_deciles(spark, sf_dir):
+    """Observed deciles of document sizes by language, from order statistics."""
+    d = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL AND lang IS NOT NULL").select("lang", F.col("n_chars").cast("double").alias("n_chars"))
+    return order_statistics(d, ["lang"], "n_chars", {f"p{q}": (q / 100, "lower") for q in range(10, 100, 10)})
+
+
+def csv_round_trip(spark, sf_dir):
+    """Starts of documents written as CSV with a header and read back with the same schema, quotes, line ends and nulls kept apart from empty texts."""
+    s = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, 200).alias("text"))
+    path = Scratch(spark, "csv").path("documents")
+    s.write.options(header=True, nullValue="\\N", emptyValue="", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = spark.read.schema(s.schema).options(header=True, nullValue="\\N", multiLine=True, escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
+    return back.select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+_MIXTURES = ([9, 18, 27], [0.0, 0.01, 0.5], 4)
+
+
+def every_family() -> list[grids.Family]:
+    return [f for families in grids.GRIDS.values() for f in families] + grids.mixtures(*_MIXTURES)
+
+
 def experiment_grid(spark, sf_dir):
-    """Config keys of the floors, drop-by-invent and mixture grids."""
-    configs = store.floor_configs() + store.drop_invent_configs() + store.mixture_configs([9, 18], [0.0, 0.25, 1.0], 3)
-    return store.configs_frame(spark, configs).select("experiment_id", "experiment_family", "config_key")
+    """Config keys of every grid."""
+    return store.configs_frame(spark, store.configs_of(every_family())).select("experiment_id", "experiment_family", "config_key")
 
 
 def parsed_ids(spark, sf_dir):
-    frame = store.configs_frame(spark, store.mixture_configs([9, 18, 27], [0.0, 0.01, 0.5], 4)).select("experiment_id")
+    """Layer, mode, alpha and repeat out of the ids of the mixture grids."""
+    frame = store.configs_frame(spark, store.mixture_configs(*_MIXTURES)).select("experiment_id")
     return store.parse_ids(frame)
 
 
+def parsed_grid_ids(spark, sf_dir):
+    """The fields of the ids of the grids over spaces."""
+    families = grids.GRIDS["c0"] + grids.GRIDS["c1"] + grids.GRIDS["c2r"] + grids.GRIDS["c2s"]
+    frame = store.configs_frame(spark, store.configs_of(families)).select("experiment_id")
+    return grids.parsed(frame, families).select("experiment_id", "family", "space", "level", "comparison", "angle", F.col("k").alias("repeat"))
+
+
 def grid_run(spark, sf_dir):
     """A grid run twice into a store: results and failures by family; the second run has nothing left to do."""
     results = store.ResultStore(spark, Scratch(spark, "grid").path("store"))
@@ -188,7 +257,28 @@ ORACLES = {
         s(severity) AS (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE)), m AS (SELECT *, list_avg(px) AS mean FROM i, s)
         SELECT image_id, severity, CAST(list_sum(list_transform(px, lambda v: CAST(trunc(greatest(0, least(255, v + 255.0::DOUBLE * severity))) AS BIGINT))) AS BIGINT) AS bright,
         CAST(list_sum(list_transform(px, lambda v: CAST(trunc(CASE WHEN severity = 0 THEN v ELSE greatest(0, least(255, mean + (v - mean) * (1.0::DOUBLE - severity))) END) AS BIGINT))) AS BIGINT) AS flat FROM m""",
-    "grid_run": "SELECT 's3' AS experiment_family, s AS status, n::BIGINT AS n, m::DOUBLE AS mmd, 0::BIGINT AS n_js, 0 AS \"left\" FROM (VALUES ('ok', 120, 585.0), ('failed', 40, NULL)) t(s, n, m)",
+    "turned_images": """WITH i AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: greatest(0, least(255, CAST(floor(v::DOUBLE * 64 + 128) AS INT)))) AS px FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        p AS (SELECT image_id, px, k, k // 8 AS y, k % 8 AS x FROM i, range(64) t(k)), a(angle) AS (VALUES (0.0::DOUBLE), (90.0::DOUBLE), (180.0::DOUBLE), (270.0::DOUBLE))
+        SELECT image_id, angle, CAST(sum(k * px[CAST(CASE angle WHEN 0 THEN y * 8 + x WHEN 90 THEN x * 8 + 7 - y WHEN 180 THEN (7 - y) * 8 + 7 - x ELSE (7 - x) * 8 + y END + 1 AS INT)]) AS BIGINT) AS weighed FROM p, a GROUP BY 1, 2""",
+    "strongest_component": """WITH m AS (SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE), 9) AS mean FROM embeddings, range(1, 65) t(i) WHERE embedding IS NOT NULL GROUP BY 1, 2)
+        SELECT label, CAST(i AS INT) AS component, mean FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY abs(mean) DESC, i) = 1""",
+    "coerced_values": r"""WITH w AS (SELECT lang, unnest(string_split_regex(translate(substr(text, 1, 400), '.,()', '    '), '[ \n]+')) AS word FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+        SELECT lang, count(*) AS n, count(TRY_CAST(CASE WHEN regexp_full_match(word, '[0-9]+') THEN word END AS INT)) AS numbers, CAST(sum(TRY_CAST(CASE WHEN regexp_full_match(word, '[0-9]+') THEN word END AS INT)) AS BIGINT) AS total
+        FROM w WHERE regexp_full_match(word, '[0-9A-Za-z]{1,9}') GROUP BY 1""",
+    "share_of_largest": "SELECT doc_id, source, round(n_chars / max(n_chars) OVER (PARTITION BY source), 9) AS share FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL AND source IS NOT NULL",
+    "largest_duplicate_groups": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_doc LIMIT 10",
+    "size_deciles": "SELECT lang, " + ", ".join(f"list_sort(list(n_chars::DOUBLE))[CAST(floor((count(*) - 1) * {q / 100}::DOUBLE) AS INT) + 1] AS p{q}" for q in range(10, 100, 10)) + " FROM documents WHERE n_chars IS NOT NULL AND lang IS NOT NULL GROUP BY 1",
+    "csv_round_trip": "SELECT doc_id, lang, md5(substr(text, 1, 200)) AS digest FROM documents WHERE doc_id IS NOT NULL",
+    "grid_run": """SELECT 'synthetic' AS experiment_family, CASE WHEN i = 0.75 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n,
+        round(sum(CASE WHEN i <> 0.75 THEN d + k END), 6) AS mmd, 0::BIGINT AS n_js, 0 AS "left"
+        FROM (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(d), (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) b(i), range(10) r(k) GROUP BY 1, 2""",
+    "experiment_grid": grids.sql(every_family(), list(store.CONFIG), store.DEFAULTS),
+    "parsed_ids": """WITH t AS (SELECT experiment_id, string_split(experiment_id, '/') AS p FROM ({ids}))
+        SELECT experiment_id, p[1] AS family, CAST(p[2] AS INT) AS layer, CASE p[1] WHEN 'l3' THEN 'direct' WHEN 'l3d' THEN 'length_matched' WHEN 'l3e' THEN 'shuffled' END AS mode,
+        CASE WHEN p[1] LIKE 'l4%' THEN CAST(substr(p[3], 2) AS DOUBLE) END AS alpha, CAST(substr(p[len(p)], 2) AS INT) AS repeat FROM t""".format(ids=grids.sql(grids.mixtures(*_MIXTURES), list(store.CONFIG), store.DEFAULTS)),
+    "parsed_grid_ids": """WITH t AS (SELECT experiment_id, experiment_family AS family, string_split(experiment_id, '/') AS p FROM ({ids}))
+        SELECT experiment_id, family, p[2] AS space, CASE WHEN p[1] IN ('c1a', 'c1b') THEN substr(p[3], 2) END AS level, CASE WHEN p[1] = 'c2r' THEN p[3] END AS comparison,
+        CASE WHEN p[1] = 'c2s' THEN substr(p[3], 2) END AS angle, substr(p[len(p)], 2) AS repeat FROM t""".format(ids=grids.sql([f for g in ("c0", "c1", "c2r", "c2s") for f in grids.GRIDS[g]], list(store.CONFIG), store.DEFAULTS)),
     "incremental_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }
 
@@ -196,6 +286,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_pairs, audit_pairs, document_split, conversation_folds, class_balanced, length_matched, length_matched_sample, alpha_replacement, shuffled_labels, null_halves, packets,
-        mode_reference, generated_clouds, image_sweep, experiment_grid, parsed_ids, grid_run, incremental_counts,
+        mode_reference, generated_clouds, image_sweep, turned_images, strongest_component, coerced_values, share_of_largest, largest_duplicate_groups, size_deciles, csv_round_trip, experiment_grid, parsed_ids, parsed_grid_ids, grid_run, incremental_counts,
     )
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import math
 import time
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nubes.sources import grids
+
 # The columns of the result format.
 CONFIG = {
     "experiment_id": "string", "experiment_family": "string", "dataset": "string", "model": "string", "model_revision": "string", "representation": "string", "layer": "long",
@@ -69,7 +70,9 @@ class ResultStore:
         return rows.join(last, ["config_key", "batch"]).select(*self.spark.createDataFrame([], SCHEMA).columns)
 
     def _write(self, rows: DataFrame) -> None:
-        rows.withColumn("batch", F.lit(time.time_ns())).write.mode("append").parquet(self.path)
+        """A batch is numbered above all that its writer can see, so a clock that goes back reorders nothing."""
+        seen = self.spark.read.schema(SCHEMA + ", batch long").parquet(self.path).agg(F.max("batch")).first()[0] if self._exists() else None
+        rows.withColumn("batch", F.lit(max(time.time_ns(), (seen or 0) + 1))).write.mode("append").parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows; a key that is stored already, or twice among them, is an error."""
@@ -145,37 +148,22 @@ def run_grid(store: ResultStore, configs: DataFrame, runner: Callable[[dict], di
     return n
 
 
-def grid(template: str, **axes) -> list[dict]:
-    """The product of named axes as dicts with an experiment_id from ``template``; axes vary from the last to the first."""
-    names = list(axes)
-    return [dict(zip(names, v)) | {"experiment_id": template.format(**dict(zip(names, v)))} for v in itertools.product(*axes.values())]
-
-
-# The experiment grids.
-DROP_INVENT = (0.0, 0.25, 0.5, 0.75)
+def configs_of(families: list[grids.Family]) -> list[dict]:
+    return [c for family in families for c in family.configs()]
 
 
 def floor_configs() -> list[dict]:
     """Floors by sample size: 3 laws, 3 sizes, copy or same law, 5 repeats: 90."""
-    rows = grid("s0_{dataset}_{mode}_n{n_P}_k{k}", dataset=("gaussian", "ring", "modes8"), n_P=(250, 500, 1000), mode=("copy", "samelaw"), k=range(5))
-    return [{"experiment_id": c["experiment_id"], "experiment_family": "s0", "dataset": c["dataset"], "n_P": c["n_P"], "n_Q": c["n_P"], "seed": c["k"]} for c in rows]
+    return grids.S0.configs()
 
 
 def drop_invent_configs() -> list[dict]:
     """Dropped by invented modes, 10 repeats: 160."""
-    rows = grid("s3_d{d}_i{i}_k{k}", d=DROP_INVENT, i=DROP_INVENT, k=range(10))
-    return [{"experiment_id": c["experiment_id"], "experiment_family": "s3", "dataset": "modes8", "n_P": 500, "n_Q": 500, "drop_fraction": c["d"], "invent_fraction": c["i"], "seed": c["k"]} for c in rows]
+    return grids.S3.configs()
 
 
 def mixture_configs(layers, alphas, repeats: int, n_cloud: int = 500) -> list[dict]:
-    """Direct, length-matched and shuffled comparisons by layer and repeat, and independent and paired mixtures by alpha."""
-    families = {"l3/{layer}/direct/r{k}": "l3_direct", "l3d/{layer}/r{k}": "l3d_length_matched", "l3e/{layer}/r{k}": "l3e_shuffled_label"}
-    out = []
-    for template, family in families.items():
-        out += [c | {"experiment_family": family} for c in grid(template, layer=layers, k=range(repeats))]
-    for code, family in (("l4a", "l4a_independent"), ("l4b", "l4b_paired")):
-        out += [c | {"experiment_family": family} for c in grid(code + "/{layer}/a{alpha:g}/r{k}", layer=layers, alpha=alphas, k=range(repeats))]
-    return [{"experiment_id": c["experiment_id"], "experiment_family": c["experiment_family"], "dataset": "qa", "layer": c["layer"], "alpha": c.get("alpha"), "n_P": n_cloud, "n_Q": n_cloud, "seed": c["k"]} for c in out]
+    return configs_of(grids.mixtures(layers, alphas, repeats, n_cloud))
 
 
 def parse_ids(df: DataFrame, column: str = "experiment_id") -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from nubes.operators import clouds, generators, topology, transforms
+from nubes.operators import clouds, generators, topology, transforms, trials
 
 
 def frame(spark, x, first=0):
@@ -121,3 +121,51 @@ def test_permutation_test(spark, pair):
     gap = lambda p, q: abs(p.selectExpr("avg(x[0])").first()[0] - q.selectExpr("avg(x[0])").first()[0])
     _, p = topology.permutation_test(frame(spark, x), frame(spark, x + 9), gap, permutations=4)
     assert p == pytest.approx(1 / 5)
+
+
+def test_rtd_counts_what_one_cloud_joins_later(spark):
+    """Two rows at distance 5 in one cloud and 1 in the other: after scaling by the 0.9 quantile both clouds are alike; three rows
+    whose order of merging differs are not."""
+    p, q = np.array([[0.0], [1.0], [5.0]]), np.array([[0.0], [4.0], [5.0]])
+    a, b = (np.abs(x - x.T) / np.quantile(np.abs(x - x.T), 0.9) for x in (p, q))
+
+    def one_way(a, b):
+        # single-linkage merges: the smaller distances against a, matched by the lengths of their spanning trees
+        tree = lambda d: sorted(topology.prim(d))
+        return sum(tree(a)) - sum(tree(np.minimum(a, b)))
+
+    got = topology.rtd(topology.paired(frame(spark, p), frame(spark, q)), trials=1, batch=3).first().rtd
+    assert got == pytest.approx((one_way(a, b) + one_way(b, a)) / 2) and got > 0.1
+
+
+def test_many_trials_equal_one_at_a_time(spark, pair):
+    x, y = pair
+    pool = clouds.pooled(frame(spark, x), frame(spark, y))
+    weights = trials.relabelled(pool, len(x), 3, 1)
+    values = {r.trial: r.value for r in trials.trial_energy(trials.weighted(pool, weights, 4)).collect()}
+    both = {**{2 * i: v for i, v in enumerate(x)}, **{2 * i + 1: v for i, v in enumerate(y)}}
+    dist = lambda a, b: np.linalg.norm(np.array(a)[:, None] - np.array(b)[None], axis=2).mean()
+    for t in range(4):
+        sides = {"p": [], "q": []}
+        for r in weights.where(f"trial = {t}").collect():
+            sides[r.side] += [both[r.pid]] * r.w
+        p, q = sides["p"], sides["q"]
+        assert len(p) == len(x) and values[t] == pytest.approx(2 * dist(p, q) - dist(p, p) - dist(q, q))
+    table = trials.permutation_table(trials.trial_energy(trials.weighted(pool, weights, 4))).first()
+    assert table.p == pytest.approx((sum(values[t] >= values[0] for t in (1, 2, 3)) + 1) / 4)
+
+
+def test_turned_images(spark):
+    rng = np.random.default_rng(3)
+    images = rng.integers(0, 256, (4, 6, 6))
+    f = spark.createDataFrame([(i, im.ravel().tolist()) for i, im in enumerate(images)], "id long, pixels array<int>")
+    from pyspark.sql import functions as F
+
+    def turn(angle, scale):
+        rows = f.select("id", transforms.turned(F.col("pixels"), F.lit(angle), F.lit(scale), 6, 6).alias("x")).orderBy("id").collect()
+        return np.array([r.x for r in rows]).reshape(-1, 6, 6)
+
+    assert (turn(0.0, 1.0) == images).all() and (turn(360.0, 1.0) == images).all()
+    assert all((turn(90.0 * k, 1.0)[i] == np.rot90(images[i], k)).all() for k in range(4) for i in range(4))
+    assert turn(45.0, 1.0)[:, 0, 0].max() <= 40 and (turn(30.0, 0.5)[:, 0, :] == 0).mean() > 0.9
+    assert transforms.scale_grid() == pytest.approx(np.linspace(0.6, 1.4, 9)) and len(transforms.angles_by_step(10.0)) == 36 and transforms.angles_by_step(10.0)[-1] == 350.0
