@@ -9,7 +9,7 @@ from nubes.operators import clouds, metrics, trials
 from nubes.plans.cloud_queries import _CELL, _CTE, _POOL, ORACLES as CLOUDS, pair, r9
 
 PERMUTATIONS, RESAMPLES, SEED = 20, 20, 42
-SIZES, REPEATS = [20, 40, 80], 10
+SIZES, REPEATS, STRETCH = [20, 40, 80], 10, 1.5
 
 
 def permutation_test(spark, sf_dir):
@@ -31,7 +31,9 @@ def bootstrap_interval(spark, sf_dir):
 
 
 def power_values(spark, sf_dir):
+    """Q is stretched by ``STRETCH``, since both clouds of the table follow one law."""
     p, q = pair(spark, sf_dir)
+    q = q.select("pid", F.transform("x", lambda v: v * STRETCH).alias("x"))
     weights, plan = trials.subsampled(p, q, SIZES, REPEATS, SEED)
     values = trials.trial_energy(trials.weighted(clouds.pooled(p, q), weights, len(SIZES) * 2 * REPEATS))
     return values.join(plan, "trial").select("n", "kind", "repeat", F.lit("energy").alias("metric"), r9("value").alias("value"))
@@ -83,7 +85,8 @@ _SUB = f""", plan(trial, n, kind, repeat) AS (VALUES {_PLAN}),
   placed AS (SELECT pid, plan.*, row_number() OVER (PARTITION BY trial, pid % 2 ORDER BY md5(concat_ws('|', pid, {SEED}, trial)), pid) AS place FROM pool, plan),
   w AS (SELECT pid, trial, CASE WHEN pid % 2 = 1 OR place > n THEN 'q' ELSE 'p' END AS side, 1 AS w FROM placed
     WHERE CASE WHEN kind = 'control' THEN pid % 2 = 0 AND place <= 2 * n ELSE place <= n END)"""
-_VALUES = f"{_CTE}{_POOL}{_DIST}{_SUB}, {_ENERGY}, long AS (SELECT n, kind, repeat, 'energy' AS metric, round(value, 9) AS value FROM v JOIN plan USING (trial))"
+_STRETCHED = f", pool AS (SELECT pid * 2 AS pid, x FROM p UNION ALL SELECT pid * 2 + 1, list_transform(x, lambda v: v * {STRETCH}::DOUBLE) FROM q)"
+_VALUES = f"{_CTE}{_STRETCHED}{_DIST}{_SUB}, {_ENERGY}, long AS (SELECT n, kind, repeat, 'energy' AS metric, round(value, 9) AS value FROM v JOIN plan USING (trial))"
 _POWER = _VALUES + """, c AS (SELECT n, list_sort(list(value)) AS vs FROM long WHERE kind = 'control' GROUP BY n),
   pow AS (SELECT l.n, a.alpha, vs[CAST(ceil((len(vs) - 1) * (1.0::DOUBLE - a.alpha)) AS INT) + 1] AS threshold, avg(CAST(value > vs[CAST(ceil((len(vs) - 1) * (1.0::DOUBLE - a.alpha)) AS INT) + 1] AS INT)) AS power
     FROM long l JOIN c ON c.n = l.n, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) a(alpha) WHERE kind = 'effect' GROUP BY 1, 2, 3)"""
