@@ -49,3 +49,12 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(hadoop).delete(path, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes every table of this call but those named."""
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(hadoop)
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
