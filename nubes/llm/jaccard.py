@@ -218,6 +218,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classes = scratch.keep(classes, "classes")
     inc = incidences(join_keys(known, frequent[order], order), scratch, "incidences")
     joined = scratch.keep(resolve(inc, classes.select("item", "size", "content"), lambda items: token_sets(known, items), verified, scratch), "components")
+    scratch.drop_all_but("first", "classes", "components")
     own = classes.select("item", "root").join(joined, "item", "left").select("item", "root", F.coalesce("component", "item").alias("component"))
     least = own.groupBy(F.col("component").alias("of")).agg(F.min("root").alias("component_id"))
     roots = own.join(least, F.col("component") == F.col("of")).select(F.col("item").alias("of"), "component_id")
