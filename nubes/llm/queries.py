@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubes.llm import ann, bpe, jaccard, lines, mixing, paragraphs, pii, quality, secrets, warc
+from nubes.llm import ann, bpe, jaccard, lines, mixing, paragraphs, pii, quality, secrets, suffixes, warc
 from nubes.plans.scratch import Scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,5 +65,14 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("pmod(vec_id, 50) = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_quality_rules, op3_byte_bpe, op4_jaccard_join, op5_line_dedup, op6_personal_data, op7_paragraph_dedup, op8_secret_scan, op9_source_mix, op10_nearest_vectors)}
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select(
+        "doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_quality_rules, op3_byte_bpe, op4_jaccard_join, op5_line_dedup, op6_personal_data, op7_paragraph_dedup, op8_secret_scan, op9_source_mix, op10_nearest_vectors, op12_suffix_dedup)}
 ORACLES = {"op1_warc_archive": warc.ORACLE, "op9_source_mix": mixing.ORACLE}
