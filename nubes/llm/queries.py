@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubes.llm import ann, bpe, jaccard, lines, mixing, paragraphs, pii, quality, secrets, suffixes, warc
+from nubes.llm import ann, bpe, jaccard, lines, mixing, negatives, paragraphs, pii, quality, secrets, suffixes, warc, whitening
 from nubes.plans.scratch import Scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,12 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("pmod(vec_id, 50) = 0"))
 
 
+def op11_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight components of every usable row; a deviation beyond a long is null."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -74,5 +80,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_quality_rules, op3_byte_bpe, op4_jaccard_join, op5_line_dedup, op6_personal_data, op7_paragraph_dedup, op8_secret_scan, op9_source_mix, op10_nearest_vectors, op12_suffix_dedup)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_quality_rules, op3_byte_bpe, op4_jaccard_join, op5_line_dedup, op6_personal_data, op7_paragraph_dedup, op8_secret_scan, op9_source_mix, op10_nearest_vectors, op11_whitened_vectors, op12_suffix_dedup, op13_hard_negatives)}
 ORACLES = {"op1_warc_archive": warc.ORACLE, "op9_source_mix": mixing.ORACLE}
