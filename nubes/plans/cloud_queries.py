@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubes.operators import clouds, topology, transforms
+from nubes.operators import clouds, rips, topology, transforms
 
 GAMMA_FLOOR = 1e-12
 
@@ -144,12 +144,12 @@ def ntd(spark, sf_dir):
 
 
 def mtd(spark, sf_dir):
-    return topology.mtd(*pair(spark, sf_dir), batch_p=32, batch_q=32, trials=2, seed=42).select(r9("mtd_h0").alias("mtd_h0"), r9("mtd").alias("mtd"))
+    return topology.mtd(*pair(spark, sf_dir)).select(r9("mtd_h0").alias("mtd_h0"), r9("mtd").alias("mtd"))
 
 
 def rtd(spark, sf_dir):
     p, q = pair(spark, sf_dir)
-    return topology.rtd(topology.paired(p, q), trials=2, batch=24, seed=42).select(r9("rtd").alias("rtd"))
+    return topology.rtd(topology.paired(p, q), trials=5, batch=500, seed=42).select(r9("rtd").alias("rtd"))
 
 
 def sinkhorn_cost(spark, sf_dir):
@@ -157,10 +157,14 @@ def sinkhorn_cost(spark, sf_dir):
 
 
 def persistence_diagram(spark, sf_dir):
-    """H0 and H1 bars of 40 points of P, chosen by hash."""
+    """All H0 and H1 bars of P; at most ``rips.MOST`` points."""
     p, _ = pair(spark, sf_dir)
-    few = topology.hash_sample(p, 40, 7)
-    return topology.diagrams(few.withColumn("cloud", F.lit("p"))).select("cloud", "level", r9("birth").alias("birth"), r9("death").alias("death"))
+    return rips.cloud_bars(p.withColumn("side", F.lit(1))).select(F.lit("p").alias("cloud"), "level", r9("birth").alias("birth"), r9("death").alias("death"))
+
+
+def cross_barcode(spark, sf_dir):
+    """All bars of the cross-barcode of P and Q."""
+    return rips.cross_bars(*pair(spark, sf_dir)).select("level", r9("birth").alias("birth"), r9("death").alias("death"))
 
 
 def pca_projection(spark, sf_dir):
@@ -231,6 +235,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         precision_recall_at_k, knn_radii, coverage_mask, mmd, energy_distance, js_divergence, nearest_to_q, cloud_moments, frechet_distance, linear_cka,
-        h0_barcode, bar_summary, top_bars, mtd0, ntd, mtd, rtd, sinkhorn_cost, persistence_diagram, pca_projection, cloud_transforms,
+        h0_barcode, bar_summary, top_bars, mtd0, ntd, mtd, rtd, sinkhorn_cost, persistence_diagram, cross_barcode, pca_projection, cloud_transforms,
     )
 }

@@ -61,7 +61,7 @@ def all_metrics(spark, sf_dir):
 
 
 def all_metrics_wide(spark, sf_dir):
-    row = metrics.compute_all(*pair(spark, sf_dir), ntd_repeats=3, rtd_trials=2, rtd_batch=24, mtd_batch=32, mtd_trials=2)
+    row = metrics.compute_all(*pair(spark, sf_dir))
     return row.select(*(r9(c).alias(c) for c in row.columns))
 
 

@@ -65,16 +65,6 @@ def test_spanning_tree_and_mtd0_agree_with_prim(spark, pair, monkeypatch):
     assert [r.length for r in topology.spanning_tree(frame(spark, grid)).collect()] == [1.0] * 15
 
 
-def test_rips_bars_of_a_ring_and_of_copies():
-    angle = 2 * np.pi * np.arange(24) / 24
-    ring = np.stack([np.cos(angle), np.sin(angle)], axis=1)
-    bars = topology.rips_bars(dist(ring, ring))
-    longest = sorted((e - b for b, e in bars[1]), reverse=True)
-    assert longest[0] > 1.2 and (len(longest) == 1 or longest[1] < 0.1)
-    assert len(bars[0]) == 24 and topology.rips_bars(np.zeros((0, 0)))[1] == []
-    assert sum(e - b for b, e in topology.cross_bars(ring, ring)[1]) == pytest.approx(0, abs=1e-9)
-
-
 def test_rtd_of_equal_rows_is_zero_and_sinkhorn_grows(spark, pair):
     x, y = pair
     f = frame(spark, x)
@@ -116,13 +106,6 @@ def test_generators(spark):
     assert np.allclose(m8[0], m4[0]) and np.allclose(m8[1], m4[1]) and np.allclose(m8[1], 33 * np.eye(2))
 
 
-def test_permutation_test(spark, pair):
-    x = pair[0][:20]
-    gap = lambda p, q: abs(p.selectExpr("avg(x[0])").first()[0] - q.selectExpr("avg(x[0])").first()[0])
-    _, p = topology.permutation_test(frame(spark, x), frame(spark, x + 9), gap, permutations=4)
-    assert p == pytest.approx(1 / 5)
-
-
 def test_rtd_counts_what_one_cloud_joins_later(spark):
     """Two rows at distance 5 in one cloud and 1 in the other: after scaling by the 0.9 quantile both clouds are alike; three rows
     whose order of merging differs are not."""
