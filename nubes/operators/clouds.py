@@ -2,8 +2,9 @@
 
 A cloud is a DataFrame (pid long, x array<double>); pid is unique.  Rows with a null pid or vector take no part.  Metrics
 over all pairs are quadratic by definition, so the pair relation is never written out: points are dealt into blocks of
-about ``BLOCK`` by a hash of their id, blocks meet blocks by an equi-join on block numbers, and a numpy kernel inside each
-task reduces a block pair to what the metric needs before anything is shuffled.
+about ``BLOCK`` by a hash of their id, and a numpy kernel inside each task reduces a block pair to what the metric needs before
+anything is shuffled.  Blocks meet in the cells of a square grid: a block goes to the cells of its row and of its column, so a
+vector travels as often as the grid is wide, which follows the cluster's cores and a task's memory, not the number of blocks.
 """
 
 from __future__ import annotations
@@ -15,13 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nubes.plans.ordered import running
+
 #: Points of a side that a kernel sees at once.
 BLOCK = 512
-#: Clouds are dealt into this many blocks of ``BLOCK`` to ``LARGEST`` points: a vector travels as often as there are blocks.
+#: Clouds are dealt into this many blocks of ``SMALLEST`` to ``LARGEST`` points.
 BLOCKS = 32
-LARGEST = 8192
-#: Tasks that merge the sums of all tasks before the last one does.
-MERGERS = 32
+SMALLEST, LARGEST = 256, 8192
+#: Points of a grid column that a task may have to hold, and cells for each core.
+HELD, CELLS = 131_072, 3
+#: Tasks that merge the sums of all tasks before the driver merges theirs.
+MERGERS = 8
+#: Squared distances below this share of both squared lengths are computed anew from differences.
+CANCELS = 1e-3
 
 
 def cloud(df: DataFrame, pid: str, vector: str) -> DataFrame:
@@ -35,7 +42,7 @@ def pooled(p: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def block_count(n: int) -> int:
-    return max(1, -(-n // min(LARGEST, max(BLOCK, n // BLOCKS))))
+    return max(1, -(-n // min(LARGEST, max(SMALLEST, n // BLOCKS))))
 
 
 def blocks(points: DataFrame, n: int, *extra: str) -> DataFrame:
@@ -62,6 +69,33 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product, right to about 1e-12 of themselves: what cancels is computed from differences, so equal
+    points are at distance 0."""
+    if not len(x) or not len(y):
+        return np.zeros((len(x), len(y)))
+    middle = (x[0] + y[-1]) / 2
+    u, v = x - middle, y - middle
+    sizes = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
+    out = u @ v.T
+    out *= -2
+    out += sizes
+    sizes *= CANCELS
+    i, j = np.nonzero(~(out > sizes))
+    if 8 * len(i) > out.size:
+        return squared(x, y)
+    for part in range(0, len(i), 1 << 14):
+        a, b = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
+        out[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
+    return out
+
+
+def grid_width(spark, held: int) -> int:
+    """Rows and columns of the grid of tasks."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(int(np.ceil((CELLS * cores) ** 0.5)), -(-held // HELD))
+
+
 def pair_blocks(left: DataFrame, right: DataFrame, right_n: int, kernel: Callable, schema: str, halved: bool = False) -> DataFrame:
     """``kernel(ids_a, x_a, extra_a, ids_b, x_b, extra_b) -> dict`` over every pair of blocks, ``BLOCK`` points of a side at a time;
     ``extra`` maps names to arrays.
@@ -70,9 +104,17 @@ def pair_blocks(left: DataFrame, right: DataFrame, right_n: int, kernel: Callabl
     """
     count = block_count(right_n)
     names_a, names_b = left.columns, right.columns
-    dealt = left.select(*(F.col(c).alias(f"{c}_a") for c in names_a))
-    dealt = dealt.withColumn("block_b", F.explode(F.sequence(F.col("block_a") if halved else F.lit(0), F.lit(count - 1))))
-    met = dealt.join(right.select(*(F.col(c).alias(f"{c}_b") for c in names_b)), "block_b")
+    wide = min(grid_width(left.sparkSession, right_n), max(count, 1)) if halved else grid_width(left.sparkSession, right_n)
+    numbers = lambda low, high: F.explode(F.sequence(low, high))
+    dealt = left.select(*(F.col(c).alias(f"{c}_a") for c in names_a)).withColumn("row_", F.pmod("block_a", F.lit(wide)))
+    dealt = dealt.withColumn("col_", numbers(F.col("row_") if halved else F.lit(0), F.lit(wide - 1)))
+    others = right.select(*(F.col(c).alias(f"{c}_b") for c in names_b)).withColumn("col_", F.pmod("block_b", F.lit(wide)))
+    others = others.withColumn("row_", numbers(F.lit(0), F.col("col_") if halved else F.lit(wide - 1)))
+    cells = wide * (wide + 1) // 2 if halved else wide * wide
+    met = dealt.repartition(cells, "row_", "col_").join(others.repartition(cells, "row_", "col_"), ["row_", "col_"])
+    if halved:
+        met = met.where("row_ < col_ OR block_a <= block_b")
+    met = met.drop("row_", "col_")
 
     def side(at: dict, i: int, s: str, names: list[str]) -> list[tuple]:
         ids, x = np.asarray(at["ids" + s][i].values), matrix(at["xs" + s], i)
@@ -91,7 +133,7 @@ def pair_blocks(left: DataFrame, right: DataFrame, right_n: int, kernel: Callabl
                         if out is not None:
                             yield pa.RecordBatch.from_pydict(out)
 
-    return met.repartition(F.col("block_a"), F.col("block_b")).mapInArrow(run, schema) if count > 1 else met.mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)
 
 
 def itself(a: np.ndarray, b: np.ndarray) -> bool:
@@ -99,6 +141,25 @@ def itself(a: np.ndarray, b: np.ndarray) -> bool:
     return len(a) == len(b) and a[0] == b[0]
 
 
+def least(d2: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances of each row, ascending (fewer if there are fewer columns), each from differences again."""
+    m = min(k, d2.shape[1])
+    at = np.argpartition(d2, m - 1, axis=1)[:, :m]
+    out = ((x[:, None, :] - y[at]) ** 2).sum(axis=2)
+    out[np.isinf(np.take_along_axis(d2, at, axis=1))] = np.inf
+    return np.sqrt(np.sort(out, axis=1))
+
+
+def within(d2: np.ndarray, x: np.ndarray, y: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Which points of x lie in the closed ball of each y, exact at the rim."""
+    limit = radii[None, :] ** 2
+    out = d2 <= limit
+    i, j = np.nonzero(np.abs(d2 - limit) <= 1e-9 * limit + 1e-18)
+    if len(i):
+        out[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1)) <= radii[j]
+    return out
+
+
 def nearest_distances(points: DataFrame, k: int, n: int | None = None) -> DataFrame:
     """(pid, near): the distances to the k nearest other points, ascending; fewer if the cloud is smaller.
 
@@ -108,12 +169,11 @@ def nearest_distances(points: DataFrame, k: int, n: int | None = None) -> DataFr
     dealt = blocks(points, n)
 
     def kernel(a, x, _, b, y, __):
-        d = np.sqrt(squared(x, y))
-        d[a[:, None] == b[None, :]] = np.inf
-        found = []
-        for way in (d,) if itself(a, b) else (d, d.T):
-            m = min(k, way.shape[1])
-            found += list(np.sort(np.partition(way, m - 1, axis=1)[:, :m], axis=1))
+        d2 = near_squared(x, y)
+        d2[a[:, None] == b[None, :]] = np.inf
+        found = list(least(d2, x, y, k))
+        if not itself(a, b):
+            found += list(least(d2.T, y, x, k))
         return {"pid": a if itself(a, b) else np.concatenate([a, b]), "near": pa.array(found, pa.list_(pa.float64()))}
 
     some = pair_blocks(dealt, dealt, n, kernel, "pid long, near array<double>", halved=True)
@@ -133,8 +193,8 @@ def coverage(centers: DataFrame, queries: DataFrame, radii: list[str], atol: flo
     schema = "pid long, " + ", ".join(f"{r} boolean" for r in radii)
 
     def kernel(a, x, _, __, y, extra):
-        d = np.sqrt(squared(x, y))
-        return {"pid": a} | {r: (d <= extra[r][None, :] + atol).any(axis=1) for r in radii}
+        d2 = near_squared(x, y)
+        return {"pid": a} | {r: within(d2, x, y, extra[r] + atol).any(axis=1) for r in radii}
 
     inside = pair_blocks(blocks(queries, m), blocks(centers, n, *radii), n, kernel, schema)
     return inside.groupBy("pid").agg(*(F.bool_or(r).alias(r) for r in radii))
@@ -153,9 +213,9 @@ def precision_recall(p: DataFrame, q: DataFrame, ks: tuple[int, ...] = (1, 3, 10
 
     def kernel(a, x, of_a, b, y, of_b):
         """Both ways at once: which points of Q lie in balls of P, and the other way round."""
-        d = np.sqrt(squared(x, y))
+        d2 = near_squared(x, y)
         out = {"of_p": np.repeat([False, True], [len(b), len(a)]), "pid": np.concatenate([b, a])}
-        return out | {r: np.concatenate([(d <= of_a[r][:, None] + atol).any(axis=0), (d <= of_b[r][None, :] + atol).any(axis=1)]) for r in names}
+        return out | {r: np.concatenate([within(d2.T, y, x, of_a[r] + atol).any(axis=1), within(d2, x, y, of_b[r] + atol).any(axis=1)]) for r in names}
 
     schema = "of_p boolean, pid long, " + ", ".join(f"{r} boolean" for r in names)
     inside = pair_blocks(blocks(with_radii(p, n), n, *names), blocks(with_radii(q, m), m, *names), m, kernel, schema)
@@ -175,7 +235,7 @@ def pair_sums(left: DataFrame, right: DataFrame | None = None, gamma: float | No
     alone = right is None
 
     def kernel(a, x, _, b, y, __):
-        d2 = squared(x, y)
+        d2 = near_squared(x, y)
         other = a[:, None] != b[None, :]
         times = 2 if alone and not itself(a, b) else 1
         e = np.exp(-gamma * d2)[other].sum() if gamma is not None else 0.0
@@ -194,38 +254,59 @@ def median_distance(points: DataFrame, n: int | None = None) -> float | None:
     if not pairs:
         return None
     dealt = blocks(points, n)
+    counts = pair_blocks(dealt, dealt, n, lambda a, x, _, b, y, __: histogram(distances(a, x, b, y)), "bits long, times long", halved=True)
+    bins = counts.groupBy("bits").agg(F.sum("times").alias("times")).collect()
+    low, high = middle_bins({r.bits: r.times for r in bins}, pairs)
+    few = pair_blocks(dealt, dealt, n, lambda a, x, _, b, y, __: between(distances(a, x, b, y), low, high), "d double, times long", halved=True)
+    return middle(few.groupBy("d").agg(F.sum("times").alias("times")), pairs)
+
 
-    def distances(a, x, b, y) -> np.ndarray:
-        d = np.sqrt(squared(x, y))
-        return d[np.triu_indices(len(a), 1)] if itself(a, b) else d.ravel()
-
-    def histogram(a, x, _, b, y, __):
-        d = distances(a, x, b, y)
-        bits, times = np.unique(d.view(np.int64) >> 40, return_counts=True)
-        return {"bits": bits, "times": times}
-
-    counts = pair_blocks(dealt, dealt, n, histogram, "bits long, times long", halved=True).groupBy("bits").agg(F.sum("times").alias("times"))
-    # at most a few thousand bins for each power of two between the distances
-    bins = sorted((r.bits, r.times) for r in counts.collect())
-    ends = np.cumsum([t for _, t in bins])
-    ranks = [(pairs - 1) // 2, pairs // 2]
-    at = [int(np.searchsorted(ends, r, "right")) for r in ranks]
-    wanted = np.array(sorted({bins[i][0] for i in at}))
-
-    def values(a, x, _, b, y, __):
-        d = distances(a, x, b, y)
-        d, times = np.unique(d[np.isin(d.view(np.int64) >> 40, wanted)], return_counts=True)
-        return {"d": d, "times": times}
-
-    few = pair_blocks(dealt, dealt, n, values, "d double, times long", halved=True).groupBy("d").agg(F.sum("times").alias("times"))
-    before = int(ends[at[0] - 1]) if at[0] else 0
-    shares = [(r - before + 0.0) for r in ranks]
-    rest = sum(t for v, t in bins if v in set(wanted.tolist()))
-    # percentile positions r of `rest` values lie at r / (rest - 1)
-    if rest == 1:
-        return float(few.first().d)
-    got = few.agg(F.percentile("d", F.array(*(F.lit(s / (rest - 1)) for s in shares)), F.col("times")).alias("m")).first().m
-    return float(sum(got) / 2)
+def distances(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the pairs of a halved pair of parts, each once."""
+    d = np.sqrt(near_squared(x, y))
+    return d[np.triu_indices(len(a), 1)] if itself(a, b) else d.ravel()
+
+
+def histogram(d: np.ndarray) -> dict | None:
+    """Counts by the leading bits of positive numbers, which keep their order: 4,096 bins for each power of two."""
+    if not len(d):
+        return None
+    bits = d.view(np.int64) >> 40
+    least = int(bits.min())
+    if int(bits.max()) - least > 1 << 22:  # zeros lie far below the rest
+        found, times = np.unique(bits, return_counts=True)
+    else:
+        times = np.bincount(bits - least)
+        found = np.flatnonzero(times)
+        times = times[found]
+        found = found + least
+    return {"bits": found, "times": times}
+
+
+def middle_bins(bins: dict[int, int], pairs: int) -> tuple[float, float]:
+    """(low, high): the numbers whose bins hold the middle ranks, a bin more at both ends, since sums can differ in their last bit
+    from one pass to the next."""
+    keys = sorted(bins)
+    ends = np.cumsum([bins[k] for k in keys])
+    one, two = (keys[int(np.searchsorted(ends, r, "right"))] for r in ((pairs - 1) // 2, pairs // 2))
+    number = lambda bits: float(np.array([max(bits, 0) << 40], np.int64).view(np.float64)[0])
+    return number(one - 1), number(two + 2)
+
+
+def between(d: np.ndarray, low: float, high: float) -> dict | None:
+    """The distinct numbers from ``low`` to under ``high`` and how often each occurs; those below are counted under -1."""
+    found, times = np.unique(d[(d >= low) & (d < high)], return_counts=True)
+    under = int((d < low).sum())
+    return {"d": np.append(found, -1.0), "times": np.append(times, under)} if under or len(found) else None
+
+
+def middle(few: DataFrame, pairs: int) -> float:
+    """The median of ``pairs`` numbers from (d, times) around the middle; the row of -1 says how many lie below."""
+    below = few.where("d < 0").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    upto = running(few.where("d >= 0"), [], ["d"], {"upto": F.col("times")})
+    ranks = [(pairs - 1) // 2 - below, pairs // 2 - below]
+    got = upto.agg(*(F.min(F.when(F.col("upto") > r, F.col("d"))).alias(f"m{i}") for i, r in enumerate(ranks))).first()
+    return (got.m0 + got.m1) / 2
 
 
 def smallest_distances(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -233,13 +314,13 @@ def smallest_distances(p: DataFrame, q: DataFrame) -> DataFrame:
     m, n = p.count(), q.count()
 
     def kernel(a, x, _, __, y, ___):
-        return {"pid": a, "distance": np.sqrt(squared(x, y).min(axis=1))}
+        return {"pid": a, "distance": least(near_squared(x, y), x, y, 1)[:, 0]}
 
     return pair_blocks(blocks(p, m), blocks(q, n), n, kernel, "pid long, distance double").groupBy("pid").agg(F.min("distance").alias("distance"))
 
 
 def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, mean and covariance (ddof 1): every task's sums (d x d numbers), merged pairwise-stably by ``MERGERS`` tasks, then by one."""
+    """n, mean and covariance (ddof 1): every task's sums (d x d numbers), merged pairwise-stably by ``MERGERS`` tasks, then by the driver."""
 
     def run(batches):
         n, mean, m2 = 0, None, None
@@ -261,11 +342,10 @@ def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
     schema = "n long, mean array<double>, m2 array<double>"
     parts = points.select("x").mapInArrow(run, schema).repartition(MERGERS).mapInArrow(merge, schema)
-    last = parts.repartition(1).mapInArrow(merge, schema).first()
-    if last is None:
-        return 0, None, None
-    mean = np.array(last.mean)
-    return last.n, mean, np.array(last.m2).reshape(len(mean), -1) / max(last.n - 1, 1)
+    n, mean, m2 = 0, None, None
+    for r in parts.collect():  # MERGERS rows at most
+        n, mean, m2 = merged((n, mean, m2), (r.n, np.array(r.mean), np.array(r.m2).reshape(len(r.mean), -1)))
+    return (n, mean, m2 / max(n - 1, 1)) if n else (0, None, None)
 
 
 def merged(one: tuple, two: tuple) -> tuple:
