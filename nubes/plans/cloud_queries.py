@@ -7,9 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubes.operators import clouds, rips, topology, transforms
-
-GAMMA_FLOOR = 1e-12
+from nubes.operators import clouds, fused, rips, topology, transforms
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,21 +38,10 @@ def coverage_mask(spark, sf_dir):
     return clouds.coverage(centers, q, ["radius"]).select("pid", F.col("radius").alias("covered"))
 
 
-def mmd_value(p: DataFrame, q: DataFrame) -> DataFrame:
-    """One row: gamma (1 / median squared of all pooled pairs) and the root of the unbiased squared discrepancy, 0 at least."""
-    n, m = p.count(), q.count()
-    median = clouds.median_distance(clouds.pooled(p, q), n + m)
-    gamma = 1.0 / max(median**2, GAMMA_FLOOR)
-    mean = lambda sums, by: sums.select((F.col("e") / F.col(by)).alias("m"))
-    one, two = clouds.pooled(p, q.limit(0)), clouds.pooled(p.limit(0), q)  # ids that no point of the other side has, so that every cross pair counts
-    xx, yy = (mean(clouds.pair_sums(c, None, gamma, (k, k)), "n") for c, k in ((p, n), (q, m)))
-    xy = mean(clouds.pair_sums(one, two, gamma, (n, m)), "all")
-    rows = xx.select(F.col("m").alias("xx")).crossJoin(F.broadcast(yy.select(F.col("m").alias("yy")))).crossJoin(F.broadcast(xy.select(F.col("m").alias("xy"))))
-    return rows.select(F.lit(gamma).alias("gamma"), F.sqrt(F.greatest(F.lit(0.0), F.col("xx") + F.col("yy") - 2 * F.col("xy"))).alias("mmd"))
-
-
 def mmd(spark, sf_dir):
-    return mmd_value(*pair(spark, sf_dir)).select(r9("gamma").alias("gamma"), r9("mmd").alias("mmd"))
+    """gamma (1 / median squared of all pooled pairs) and the root of the unbiased squared discrepancy, 0 at least."""
+    found = fused.pair_metrics(*pair(spark, sf_dir), mmd=True)
+    return spark.createDataFrame([(round(found.gamma, 9), round(found.mmd, 9))], "gamma double, mmd double")
 
 
 def energy_value(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -70,26 +57,8 @@ def energy_distance(spark, sf_dir):
     return energy_value(*pair(spark, sf_dir)).select(r9("energy").alias("energy"), r9("mean_distance_p").alias("mean_distance_p"))
 
 
-def digamma(n: int) -> float:
-    """At whole numbers: a harmonic sum; for large ones its asymptotic series."""
-    if n > 10_000:
-        return math.log(n) - 1 / (2 * n) - 1 / (12 * n * n)
-    return sum(1.0 / i for i in range(1, n)) - 0.5772156649015329
-
-
-def entropy(points: DataFrame, k: int = 5) -> float:
-    """Kozachenko-Leonenko entropy in nats from the distances to the k-th neighbours, 1e-12 at least."""
-    n, d = points.agg(F.count("*"), F.max(F.size("x"))).first()
-    mean_log = clouds.knn_radii(points, k, n).agg(F.avg(F.log(F.greatest("radius", F.lit(1e-12))))).first()[0]
-    return digamma(n) - digamma(k) + 0.5 * d * math.log(math.pi) - math.lgamma(0.5 * d + 1.0) + d * mean_log
-
-
-def js_value(p: DataFrame, q: DataFrame, k: int = 5) -> float:
-    return max(0.0, entropy(clouds.pooled(p, q), k) - (entropy(p, k) + entropy(q, k)) / 2) / math.log(2.0)
-
-
 def js_divergence(spark, sf_dir):
-    return spark.createDataFrame([(round(js_value(*pair(spark, sf_dir)), 9),)], "js double")
+    return spark.createDataFrame([(round(fused.pair_metrics(*pair(spark, sf_dir), js_k=5).js, 9),)], "js double")
 
 
 def nearest_to_q(spark, sf_dir):
