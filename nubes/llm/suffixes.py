@@ -2,7 +2,7 @@
 
 Which suffixes have to be sorted at all is settled first.  Every window of ``LEAST`` bytes names one anchor inside it, the
 32-byte gram with the least hash, so equal windows have equal anchors at equal places.  Consecutive windows with one anchor are
-a context.  Contexts are shuffled as hashes, packed by ranges of the anchor's hash: a later copy of an equal context is removed
+a context.  Contexts are shuffled as hashes, packed by parts of the anchor's hash: a later copy of an equal context is removed
 as a whole, an anchor with one context only needs no sorting, and the first copies of all other contexts are cut from their
 texts and sorted.
 
@@ -10,7 +10,7 @@ Sorting works on about a megabyte of contexts that share their anchors.  Suffixe
 directly; the others follow by one scan over the buckets of first bytes, each bucket putting the predecessors of its suffixes,
 in order, into theirs.  Neighbours in suffix order with a common prefix of ``LEAST`` bytes are one string; all but its first
 start are covered.  Contexts of an anchor beyond ``GROUP`` are sorted in parts, and the strings' first starts of the parts are
-then compared by hash.
+then compared by hash, packed like the contexts before.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.llm.blocks import _BYTE_CODE, Block, as_signed, bound_batches, plain, running, slices, spans
+from nubes.llm.blocks import _BYTE_CODE, Block, as_signed, bound_batches, mix, plain, running, slices, spans
 from nubes.plans.scratch import Scratch
 
 #: Bytes of a string that counts when it repeats.
@@ -30,7 +30,7 @@ GRAM = 32
 #: Bytes of a text looked at in one go; places within take 24 bits.
 PIECE = 1 << 23
 #: Contexts that a task packs at once, contexts of an anchor sorted together, bytes of contexts sorted together.
-PACK = 1 << 20
+PACK = 1 << 19
 GROUP = 8192
 SLAB = 1 << 20
 U64 = np.uint64
@@ -97,14 +97,15 @@ def joined_runs(o: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return o[at], key[at], a[at], (top - lift)[last]
 
 
+def pack(part: int, hashes: list[np.ndarray], rest: list[np.ndarray]) -> tuple:
+    small = np.concatenate([np.diff(r, prepend=0) for r in rest]).tobytes()
+    return part, len(rest[0]), b"".join(h.tobytes() for h in hashes), pa.compress(small, codec="zstd", asbytes=True)
+
+
 def packs(parts: int):
     """Rows (o, key, text) to packs of contexts by part of the anchor's hash; of equal contexts of one pack the first alone stays and
     the others are given as intervals (``hashes`` is empty there)."""
 
-    def pack(part: int, hashes: list[np.ndarray], rest: list[np.ndarray]) -> tuple:
-        small = np.concatenate([np.diff(r, prepend=0) for r in rest]).tobytes()
-        return part, len(rest[0]), b"".join(h.tobytes() for h in hashes), pa.compress(small, codec="zstd", asbytes=True)
-
     def flush(held: list[tuple]):
         h, c, o, key, at, m = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
@@ -117,10 +118,9 @@ def packs(parts: int):
         out = []
         if len(again):
             runs = joined_runs(o[again], key[again], at[again], at[again] + m[again] + LEAST - 1)
-            whose = as_signed(runs[0].astype(U64) * U64(0x9E3779B97F4A7C15)).view(U64) >> U64(32)
-            out += split(whose * U64(parts) >> U64(32), [], list(runs), pack)
+            out += split(part_of(runs[0], parts), [], list(runs))
         h, c, o, key, at, m = (x[stays] for x in (h, c, o, key, at, m))
-        return out + split((h >> U64(32)) * U64(parts) >> U64(32), [h, c], [o, key, at, m], pack)
+        return out + split(part_of(h, parts), [h, c], [o, key, at, m])
 
     def run(batches):
         held, count = [], 0
@@ -143,7 +143,12 @@ def packs(parts: int):
     return run
 
 
-def split(part: np.ndarray, hashes: list[np.ndarray], rest: list[np.ndarray], pack) -> list[tuple]:
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Anchors have small hashes, being the least of many: they are mixed again before they are dealt."""
+    return (mix(h.view(U64)) >> U64(32)) * U64(parts) >> U64(32)
+
+
+def split(part: np.ndarray, hashes: list[np.ndarray], rest: list[np.ndarray]) -> list[tuple]:
     part = part.astype(I64)
     order = np.lexsort((rest[2], rest[1], rest[0], part))
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
@@ -173,6 +178,25 @@ def unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, o, key, at, m)], ["h", "c", "o", "key", "at", "m"])
 
 
+def intervals(o: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """``FIRST`` rows of what is covered."""
+    o, key, a, b = joined_runs(o, key, a, b)
+    zero = np.zeros(len(o), I64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero.astype(np.int32), np.zeros(len(o), bool), o, key, a, zero, b)], NAMES)
+
+
+def later_copies(batches):
+    """From ``ROW`` rows sorted by (h, c, o, key, at) the intervals of all but the first of equal (h, c)."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            h, c, o, key, at, m = (batch.column(k).to_numpy() for k in range(6))
+            again = np.concatenate([[last == (h[0], c[0])], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
+            last = (h[-1], c[-1])
+            if again.any():
+                yield intervals(o[again], key[again], at[again], at[again] + m[again] + LEAST - 1)
+
+
 FIRST = "h long, salt int, open boolean, o long, key long, at long, m long, b long"
 
 
@@ -183,12 +207,6 @@ def first_copies(batches):
     pending: list[np.ndarray] = []
     state = {"h": None, "salt": 0}
 
-    def intervals(o, key, a, b):
-        o, key, a, b = joined_runs(o, key, a, b)
-        n = len(o)
-        zero = np.zeros(n, I64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero.astype(np.int32), np.zeros(n, bool), o, key, a, zero, b)], NAMES)
-
     def firsts(rows: np.ndarray, salt: np.ndarray, opened: np.ndarray):
         h, o, key, at, m = rows
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt.astype(np.int32), opened, o, key, at, m, at + m + LEAST - 1)], NAMES)
@@ -315,11 +333,11 @@ def alike(data: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-SORTED = "kind int, h long, fp long, o long, key long, a long, b long"
+SORTED = "o long, key long, a long, b long, part int, n int, hashes binary, rest binary"
 
 
-def sort_slab(raw: list[bytes], h: np.ndarray, opened: np.ndarray, o: np.ndarray, key: np.ndarray, at: np.ndarray, m: np.ndarray) -> dict:
-    """``SORTED`` rows of some contexts: intervals (kind 0), and for open anchors the first start of every string (kind 1)."""
+def sort_slab(raw: list[bytes], h: np.ndarray, opened: np.ndarray, o: np.ndarray, key: np.ndarray, at: np.ndarray, m: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``SORTED`` rows of some contexts: intervals (part is null), and for open anchors packs of the first start of every string."""
     data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)  # 0xff is no byte of UTF-8
     begin = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
     order = suffix_order(data)
@@ -333,61 +351,61 @@ def sort_slab(raw: list[bytes], h: np.ndarray, opened: np.ndarray, o: np.ndarray
     first = np.concatenate([[True], string[by][1:] != string[by][:-1]])
     late = by[~first]
     runs = joined_runs(o[whose[late]], key[whose[late]], place[late], place[late] + LEAST)
-    n = len(runs[0])
     lead = by[first]
     lead = lead[opened[whose[lead]]]
-    prints = np.zeros(0, I64)
+    packed = []
     if len(lead):
-        sums = running(_BYTE_CODE[data])
         block = Block(pa.array([""]))
-        block.data, block._sums = data, sums
-        prints = as_signed(block.span_hash(order[lead], order[lead] + LEAST))
-    k = len(lead)
-    zero = np.zeros(n, I64)
-    return {
-        "kind": np.repeat([0, 1], [n, k]).astype(np.int32), "h": np.concatenate([zero, h[whose[lead]]]), "fp": np.concatenate([zero, prints]),
-        "o": np.concatenate([runs[0], o[whose[lead]]]), "key": np.concatenate([runs[1], key[whose[lead]]]),
-        "a": np.concatenate([runs[2], place[lead]]), "b": np.concatenate([runs[3], place[lead] + LEAST]),
-    }
-
-
-def sorted_slabs(batches):
-    """Rows (h, salt, open, o, key, at, m, raw) ordered by (h, salt), sorted about ``SLAB`` bytes at a time; a salt stays together."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+        block.data, block._sums = data, running(_BYTE_CODE[data])
+        prints = block.span_hash(order[lead], order[lead] + LEAST)
+        of = whose[lead]
+        packed = split(part_of(h[of], parts), [h[of], as_signed(prints)], [o[of], key[of], place[lead], np.ones(len(lead), I64)])
+    n, k = len(runs[0]), len(packed)
+    part, count, hashes, rest = zip(*packed) if packed else ((), (), (), ())
+    padded = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(x, kind)])
+    cells = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(k, pa.int64())]) for x in runs]
+    cells += [padded(part, pa.int32()), padded(count, pa.int32()), padded(hashes, pa.binary()), padded(rest, pa.binary())]
+    return pa.RecordBatch.from_arrays(cells, ["o", "key", "a", "b", "part", "n", "hashes", "rest"])
+
+
+def sorted_slabs(parts: int):
+    """A mapInArrow function: rows (h, salt, open, o, key, at, m, raw) ordered by (h, salt), sorted about ``SLAB`` bytes at a time; a salt stays together."""
 
     def flush(rows: pa.Table):
-        raw = rows.column(7).to_pylist()
         h, _, opened, o, key, at, m = (rows.column(k).to_numpy() for k in range(7))
-        out = sort_slab(raw, h, opened, o, key, at, m)
-        return pa.RecordBatch.from_pydict(out)
+        return sort_slab(rows.column(7).to_pylist(), h, opened, o, key, at, m, parts)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column(7).nbytes
-        if size < 2 * SLAB:
-            continue
-        rows = pa.Table.from_batches(held).combine_chunks()
-        h, salt = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        cuts = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1  # where a group begins
-        ends = np.cumsum(rows.column(6).to_numpy() + LEAST)
-        at = 0
-        while len(cuts := cuts[cuts > at]):
-            reach = np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB)
-            if reach >= len(h):
-                break
-            fit = cuts[cuts <= reach]
-            to = int(fit[-1] if len(fit) else cuts[0])
-            yield flush(rows.slice(at, to - at))
-            at = to
-        held = rows.slice(at).to_batches()
-        size = sum(b.column(7).nbytes for b in held)
-        if size >= 2 * SLAB and not len(cuts):
-            size = 0  # one group so far: wait for its end, which GROUP bounds
-    if held:
-        yield flush(pa.Table.from_batches(held).combine_chunks())
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column(7).nbytes
+            if size < 2 * SLAB:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            h, salt = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            cuts = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1  # where a group begins
+            ends = np.cumsum(rows.column(6).to_numpy() + LEAST)
+            at = 0
+            while len(cuts := cuts[cuts > at]):
+                reach = np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB)
+                if reach >= len(h):
+                    break
+                fit = cuts[cuts <= reach]
+                to = int(fit[-1] if len(fit) else cuts[0])
+                yield flush(rows.slice(at, to - at))
+                at = to
+            held = rows.slice(at).to_batches()
+            size = sum(b.column(7).nbytes for b in held)
+            if size >= 2 * SLAB and not len(cuts):
+                size = 0  # one group so far: wait for its end, which GROUP bounds
+        if held:
+            yield flush(pa.Table.from_batches(held).combine_chunks())
+
+    return run
 
 
 def cut_contexts(batches):
@@ -473,12 +491,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = scratch.keep(found, "found")
     lists = found.where("m > 0").groupBy("o", "key").agg(F.collect_list(F.struct("h", "salt", "open", "at", "m")).alias("contexts"))
     cut = rows.select("o", "key", "text").join(lists, ["o", "key"]).mapInArrow(cut_contexts, "h long, salt int, open boolean, o long, key long, at long, m long, raw binary")
-    slabs = cut.repartition(width, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sorted_slabs, SORTED)
+    slabs = cut.repartition(width, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sorted_slabs(4 * width), SORTED)
     slabs = scratch.keep(slabs, "slabs")
-    opened = slabs.where("kind = 1")
-    least = opened.groupBy("h", "fp").agg(F.min(F.struct("o", "key", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    across = opened.join(least.select("h", "fp", "first"), ["h", "fp"]).where(F.struct("o", "key", "a") != F.col("first")).select("o", "key", "a", "b")
-    runs = found.where("m = 0").select("o", "key", F.col("at").alias("a"), "b").unionAll(slabs.where("kind = 0").select("o", "key", "a", "b")).unionAll(across)
+    opened = slabs.where("part IS NOT NULL").select("part", "n", "hashes", "rest").repartition(width, "part").mapInArrow(unpacked, ROW)
+    across = opened.sortWithinPartitions("h", "c", "o", "key", "at").mapInArrow(later_copies, FIRST)
+    known = [found.where("m = 0").select("o", "key", F.col("at").alias("a"), "b"), slabs.where("part IS NULL").select("o", "key", "a", "b"), across.select("o", "key", F.col("at").alias("a"), "b")]
+    runs = known[0].unionAll(known[1]).unionAll(known[2])
     runs = runs.groupBy("o", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     left = rows.join(runs, ["o", "key"], "left").select("doc_id", "text", "runs").mapInArrow(kept_bytes, KEPT.format(id=docs.schema["doc_id"].dataType.simpleString()))
     return left if copies is None else left.unionByName(copies)

@@ -71,14 +71,13 @@ def test_open_anchors_and_small_packs(spark, monkeypatch):
     cut = [{**r, "raw": texts[r["o"]].encode()[r["at"] : r["at"] + r["m"] + 99]} for r in first.to_pylist() if r["m"]]
     cut = pa.Table.from_pylist(cut).drop(["b"]).sort_by([("h", "ascending"), ("salt", "ascending")])
     cut = cut.set_column(1, "salt", cut["salt"].cast(pa.int32()))
-    slabs = pa.Table.from_batches(list(suffixes.sorted_slabs(cut.to_batches(max_chunksize=5)))).to_pylist()
-    runs += [(r["o"], r["a"], r["b"]) for r in slabs if not r["kind"]]
-    least = {}
-    for r in slabs:
-        if r["kind"]:
-            k = (r["h"], r["fp"])
-            least[k] = min(least.get(k, (1 << 60, 0)), (r["o"], r["a"]))
-    runs += [(r["o"], r["a"], r["b"]) for r in slabs if r["kind"] and least[r["h"], r["fp"]] != (r["o"], r["a"])]
+    slabs = pa.Table.from_batches(list(suffixes.sorted_slabs(4)(cut.to_batches(max_chunksize=5))))
+    runs += [(r["o"], r["a"], r["b"]) for r in slabs.to_pylist() if r["part"] is None]
+    opened = slabs.filter(slabs["part"].is_valid()).select(["part", "n", "hashes", "rest"])
+    strings = pa.Table.from_batches(list(suffixes.unpacked(opened.to_batches()))).sort_by([(c, "ascending") for c in ("h", "c", "o", "key", "at")])
+    later = pa.Table.from_batches(list(suffixes.later_copies(strings.to_batches(max_chunksize=9)))).to_pylist()
+    assert later
+    runs += [(r["o"], r["at"], r["b"]) for r in later]
     gone = {i: set() for i in texts}
     for o, a, b in runs:
         gone[o].update(range(a, b))
