@@ -7,54 +7,74 @@ two matrix products, however many trials there are; pairs are computed once and
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubes.operators.clouds import blocks, pair_blocks, squared
+from nubes.operators.clouds import blocks, itself, near_squared, pair_blocks
 from nubes.plans.ordered import order_statistics, ranked
 
-WEIGHTS = "array<double>"
-
-
 def draw(*parts) -> F.Column:
     """A number in 0 .. 2**32 - 1 from the md5 of the parts, which any engine can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def weighted(points: DataFrame, weights: DataFrame, trials: int) -> DataFrame:
-    """(pid, x, wp, wq): arrays of a point's weight in P and Q of every trial, from rows (pid, trial, side, w); none is 0."""
-    each = weights.groupBy("pid").agg(F.collect_list(F.struct("trial", "side", "w")).alias("ws"))
-    at = lambda side: F.transform(
-        F.sequence(F.lit(0), F.lit(trials - 1)),
-        lambda t: F.aggregate(F.filter("ws", lambda w: (w["trial"] == t) & (w["side"] == side)), F.lit(0.0), lambda a, w: a + w["w"].cast("double")),
-    )
-    return points.join(each, "pid").select("pid", "x", at("p").alias("wp"), at("q").alias("wq"))
+def weighted(points: DataFrame, weights: DataFrame) -> DataFrame:
+    """(pid, x, codes, ws) from rows (pid, trial, side, w) with side p or q: a point's weights as sparse lists, the code being twice the
+    trial, plus one for q.  Points without a weight are left out."""
+    code = (F.col("trial") * 2 + F.when(F.col("side") == "q", 1).otherwise(0)).cast("int")
+    each = weights.groupBy("pid", code.alias("code")).agg(F.sum("w").cast("double").alias("w"))
+    each = each.groupBy("pid").agg(F.collect_list(F.struct("code", "w")).alias("of"))
+    return points.join(each, "pid").select("pid", "x", F.col("of.code").alias("codes"), F.col("of.w").alias("ws"))
+
 
+def dense(codes: np.ndarray, ws: np.ndarray, trials: int) -> tuple[np.ndarray, np.ndarray]:
+    """(wp, wq), points x trials, of sparse lists."""
+    out = np.zeros((len(codes), 2 * trials))
+    if len(codes):
+        out[np.repeat(np.arange(len(codes)), [len(c) for c in codes]), np.concatenate(list(codes))] = np.concatenate(list(ws))
+    return out[:, ::2], out[:, 1::2]
 
-def trial_sums(points: DataFrame, gamma: float | None = None) -> DataFrame:
-    """(trial, np, nq, pp, qq, pq) of ``weighted`` points: total weights, and sums over pairs of weight products times the
-    distance, or times exp(-gamma d^2) where gamma is given.  Pairs of a point with itself count."""
+
+def trial_sums(points: DataFrame, trials: int, gamma: float | None = None) -> DataFrame:
+    """(trial, np, nq, pp, qq, pq) of ``weighted`` points: total weights; sums over pairs of weight products times the
+    distance, or times exp(-gamma d^2) where gamma is given, pairs of a point with itself counted."""
     n = points.count()
 
     def kernel(a, x, of_a, b, y, of_b):
-        d2 = squared(x, y)
+        d2 = near_squared(x, y)
         d = np.sqrt(d2) if gamma is None else np.exp(-gamma * d2)
-        ap, aq, bp, bq = (np.stack(list(w)).astype(np.float64) for w in (of_a["wp"], of_a["wq"], of_b["wp"], of_b["wq"]))
+        (ap, aq), (bp, bq) = (dense(of["codes"], of["ws"], trials) for of in (of_a, of_b))
         to_p, to_q = d @ bp, d @ bq
-        return {"trial": np.arange(ap.shape[1], dtype=np.int32), "pp": (ap * to_p).sum(axis=0), "qq": (aq * to_q).sum(axis=0), "pq": (ap * to_q).sum(axis=0)}
-
-    dealt = blocks(points, n, "wp", "wq")
-    sums = pair_blocks(dealt, dealt, n, kernel, "trial int, pp double, qq double, pq double").groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("pp", "qq", "pq")))
-    sizes = points.select(F.posexplode(F.arrays_zip("wp", "wq")).alias("trial", "w")).groupBy("trial").agg(F.sum("w.wp").alias("np"), F.sum("w.wq").alias("nq"))
+        pp, qq, pq = (ap * to_p).sum(axis=0), (aq * to_q).sum(axis=0), (ap * to_q).sum(axis=0)
+        if not itself(a, b):  # each pair of parts comes once
+            pp, qq, pq = 2 * pp, 2 * qq, pq + (aq * to_p).sum(axis=0)
+        return {"trial": np.arange(trials, dtype=np.int32), "pp": pp, "qq": qq, "pq": pq}
+
+    dealt = blocks(points, n, "codes", "ws")
+    sums = pair_blocks(dealt, dealt, n, kernel, "trial int, pp double, qq double, pq double", halved=True).groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("pp", "qq", "pq")))
+    cells = points.select(F.explode(F.arrays_zip("codes", "ws")).alias("c")).select((F.col("c.codes") / 2).cast("int").alias("trial"), (F.col("c.codes") % 2 == 0).alias("of_p"), F.col("c.ws").alias("w"))
+    of = lambda side, v: F.sum(F.when(F.col("of_p") == side, v).otherwise(0.0))
+    w = F.col("w")
+    sizes = cells.groupBy("trial").agg(of(True, w).alias("np"), of(False, w).alias("nq"))
     return sizes.join(sums, "trial")
 
 
-def trial_energy(points: DataFrame) -> DataFrame:
+def trial_energy(points: DataFrame, trials: int) -> DataFrame:
     """(trial, value): 2 mean d(P,Q) - mean d(P,P) - mean d(Q,Q) of every trial, zero diagonals included."""
     means = [F.col("pq") / (F.col("np") * F.col("nq")), F.col("pp") / (F.col("np") * F.col("np")), F.col("qq") / (F.col("nq") * F.col("nq"))]
-    return trial_sums(points).select("trial", (2 * means[0] - means[1] - means[2]).alias("value"))
+    return trial_sums(points, trials).select("trial", (2 * means[0] - means[1] - means[2]).alias("value"))
+
+
+def trial_mmd(points: DataFrame, trials: int, gamma: float) -> DataFrame:
+    """(trial, value): the root of the unbiased squared discrepancy, 0 at least.  A point drawn w times counts as w points, which are
+    at distance 0 from each other."""
+    n, m = F.col("np"), F.col("nq")
+    # a point's pairs with itself: w of w * w, whose kernel is 1, are those of one and the same drawn point
+    inside = (F.col("pp") - n) / (n * (n - 1)) + (F.col("qq") - m) / (m * (m - 1))
+    return trial_sums(points, trials, gamma).select("trial", F.sqrt(F.greatest(F.lit(0.0), inside - 2 * F.col("pq") / (n * m))).alias("value"))
 
 
 def relabelled(pool: DataFrame, n_p: int, permutations: int, seed: int) -> DataFrame:
@@ -65,16 +85,19 @@ def relabelled(pool: DataFrame, n_p: int, permutations: int, seed: int) -> DataF
     return own.unionByName(many.select("pid", "trial", F.when(F.col("place") <= n_p, "p").otherwise("q").alias("side"))).withColumn("w", F.lit(1))
 
 
-def permutation_table(values: DataFrame, similarity: bool = False) -> DataFrame:
-    """observed, null_mean, null_sd (ddof 0), z and p from (trial, value), trial 0 being observed: the share of relabellings at least
-    as far out, the observation counted.  Measures of similarity get smaller as clouds part, so their tail is the lower one."""
-    seen = values.where("trial = 0").select(F.col("value").alias("observed"))
-    null = values.where("trial > 0").crossJoin(F.broadcast(seen))
-    beyond = F.col("value") <= F.col("observed") if similarity else F.col("value") >= F.col("observed")
-    out = null.groupBy("observed").agg(
+def permutation_table(values: DataFrame, similar: tuple[str, ...] = ()) -> DataFrame:
+    """metric, observed, null_mean, null_sd (ddof 0), z and p from (metric, trial, value), trial 0 being observed: the share of
+    relabellings at least as far out, the observation counted.  Measures of similarity, whose names begin as one of ``similar``, get
+    smaller as clouds part, so their tail is the lower one."""
+    seen = values.where("trial = 0").select("metric", F.col("value").alias("observed"))
+    null = values.where("trial > 0").join(seen, "metric")
+    low = reduce(lambda a, b: a | b, (F.col("metric").startswith(s) for s in similar), F.lit(False))
+    far = 1e-12 * F.greatest(F.abs("observed"), F.lit(1.0))  # equal values can differ in their last bits
+    beyond = F.when(low, F.col("value") <= F.col("observed") + far).otherwise(F.col("value") >= F.col("observed") - far)
+    out = null.groupBy("metric", "observed").agg(
         F.avg("value").alias("null_mean"), F.stddev_pop("value").alias("null_sd"), ((F.sum(beyond.cast("int")) + 1.0) / (F.count("*") + 1.0)).alias("p"),
     )
-    return out.select("observed", "null_mean", "null_sd", ((F.col("observed") - F.col("null_mean")) / F.greatest("null_sd", F.lit(1e-12))).alias("z"), "p")
+    return out.select("metric", "observed", "null_mean", "null_sd", ((F.col("observed") - F.col("null_mean")) / F.greatest("null_sd", F.lit(1e-12))).alias("z"), "p")
 
 
 def resampled(cloud: DataFrame, side: str, n: int, resamples: int, seed: int) -> DataFrame:

@@ -125,7 +125,7 @@ def test_many_trials_equal_one_at_a_time(spark, pair):
     x, y = pair
     pool = clouds.pooled(frame(spark, x), frame(spark, y))
     weights = trials.relabelled(pool, len(x), 3, 1)
-    values = {r.trial: r.value for r in trials.trial_energy(trials.weighted(pool, weights, 4)).collect()}
+    values = {r.trial: r.value for r in trials.trial_energy(trials.weighted(pool, weights), 4).collect()}
     both = {**{2 * i: v for i, v in enumerate(x)}, **{2 * i + 1: v for i, v in enumerate(y)}}
     dist = lambda a, b: np.linalg.norm(np.array(a)[:, None] - np.array(b)[None], axis=2).mean()
     for t in range(4):
@@ -134,7 +134,7 @@ def test_many_trials_equal_one_at_a_time(spark, pair):
             sides[r.side] += [both[r.pid]] * r.w
         p, q = sides["p"], sides["q"]
         assert len(p) == len(x) and values[t] == pytest.approx(2 * dist(p, q) - dist(p, p) - dist(q, q))
-    table = trials.permutation_table(trials.trial_energy(trials.weighted(pool, weights, 4))).first()
+    table = trials.permutation_table(trials.trial_energy(trials.weighted(pool, weights), 4).selectExpr("*", "'energy' AS metric")).first()
     assert table.p == pytest.approx((sum(values[t] >= values[0] for t in (1, 2, 3)) + 1) / 4)
 
 
