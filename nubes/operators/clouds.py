@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubes.plans.ordered import running
+from nubes.plans.scratch import Scratch
 
 #: Points of a side that a kernel sees at once.
 BLOCK = 512
@@ -258,7 +258,8 @@ def median_distance(points: DataFrame, n: int | None = None) -> float | None:
     bins = counts.groupBy("bits").agg(F.sum("times").alias("times")).collect()
     low, high = middle_bins({r.bits: r.times for r in bins}, pairs)
     few = pair_blocks(dealt, dealt, n, lambda a, x, _, b, y, __: between(distances(a, x, b, y), low, high), "d double, times long", halved=True)
-    return middle(few.groupBy("d").agg(F.sum("times").alias("times")), pairs)
+    few = Scratch(points.sparkSession, "median").keep(few, "middle")
+    return middle(few, pairs, low, high)
 
 
 def distances(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -300,13 +301,22 @@ def between(d: np.ndarray, low: float, high: float) -> dict | None:
     return {"d": np.append(found, -1.0), "times": np.append(times, under)} if under or len(found) else None
 
 
-def middle(few: DataFrame, pairs: int) -> float:
-    """The median of ``pairs`` numbers from (d, times) around the middle; the row of -1 says how many lie below."""
-    below = few.where("d < 0").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    upto = running(few.where("d >= 0"), [], ["d"], {"upto": F.col("times")})
-    ranks = [(pairs - 1) // 2 - below, pairs // 2 - below]
-    got = upto.agg(*(F.min(F.when(F.col("upto") > r, F.col("d"))).alias(f"m{i}") for i, r in enumerate(ranks))).first()
-    return (got.m0 + got.m1) / 2
+def middle(few: DataFrame, pairs: int, low: float, high: float) -> float:
+    """The median of ``pairs`` numbers from (d, times) around the middle; the row of -1 says how many lie below.
+
+    The numbers are counted in 2^16 even bins, and those of the one or two bins with the middle ranks go to the driver: of n pairs
+    about n / 2^28, the given interval being 2^-12 wide.
+    """
+    step = max((high - low) / (1 << 16), 5e-324)
+    bins = few.withColumn("bin", F.when(F.col("d") < 0, -1).otherwise(F.floor((F.col("d") - low) / F.lit(step))))
+    counts = sorted((r.bin, r.times) for r in bins.groupBy("bin").agg(F.sum("times").alias("times")).collect())
+    ends = np.cumsum([t for _, t in counts])
+    ranks = [(pairs - 1) // 2, pairs // 2]
+    at = [int(np.searchsorted(ends, r, "right")) for r in ranks]
+    wanted = sorted({counts[i][0] for i in at})
+    values = sorted((r.d, r.times) for r in bins.where(F.col("bin").isin(wanted)).groupBy("d").agg(F.sum("times").alias("times")).collect())
+    upto = np.cumsum([t for _, t in values]) + (int(ends[at[0] - 1]) if at[0] else 0)
+    return float(sum(values[int(np.searchsorted(upto, r, "right"))][0] for r in ranks) / 2)
 
 
 def smallest_distances(p: DataFrame, q: DataFrame) -> DataFrame:
