@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +175,91 @@ def binomial_interval(hits: int, n: int, level: float = 0.95) -> tuple[float, fl
     return lower, 1.0 if hits > n else solve(at_least, 1 - tail)
 
 
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction on the side where that is quick."""
+    x, a, b = (np.asarray(v, np.float64) for v in np.broadcast_arrays(x, a, b))
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    tiny = 1e-300
+    keep = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(y), 1 / keep(1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    for m in range(1, 300):
+        step = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        d, c = 1 / keep(1 + step * d), keep(1 + step / c)
+        h *= d * c
+        step = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d, c = 1 / keep(1 + step * d), keep(1 + step / c)
+        h *= d * c
+        if np.nanmax(np.abs(d * c - 1), initial=0.0) < 1e-15:
+            break
+    front = np.array([log_beta(i, j) for i, j in zip(p.ravel(), q.ravel())]).reshape(p.shape)
+    with np.errstate(divide="ignore"):
+        part = np.exp(p * np.log(y) + q * np.log1p(-y) - front) * h / p
+    return np.where(turned, 1 - part, part)
+
+
+def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(T > t) of Student's law; NaN for NaN."""
+    t, df = (np.asarray(v, np.float64) for v in np.broadcast_arrays(t, df))
+    far = beta_share(df / (df + t * t), df / 2, np.full_like(df, 0.5)) / 2
+    return np.where(t >= 0, far, 1 - far)
+
+
+def t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The t with P(T <= t) = p, by halving; p from 0.5 up."""
+    p, df = (np.asarray(v, np.float64) for v in np.broadcast_arrays(p, df))
+    low, high = np.zeros_like(p), np.ones_like(p)
+    for _ in range(1100):
+        short = t_tail(high, df) > 1 - p
+        if not short.any():
+            break
+        high = np.where(short, high * 2, high)
+    for _ in range(80):
+        mid = (low + high) / 2
+        under = t_tail(mid, df) > 1 - p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return np.where(np.isnan(df), np.nan, (low + high) / 2)
+
+
+def _of_columns(f, *columns: Column) -> Column:
+    """``f`` of columns of doubles, in batches; null where any is null or the result is NaN."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        if known.any():
+            out[known] = f(a.to_numpy(np.float64)[known], b.to_numpy(np.float64)[known])
+        return pd.Series(out).where(~np.isnan(out), None)
+
+    return run(*columns)
+
+
+def t_tail_column(t: Column, df: Column) -> Column:
+    return _of_columns(t_tail, t, df)
+
+
+def t_quantile_column(p: Column, df: Column) -> Column:
+    return _of_columns(t_quantile, p, df)
+
+
+def welch_table(values: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
+    """(keys..., metric, delta, se, df, ci_low, ci_high, p_value): the effect's mean less the control's, positive is worse, with Welch's
+    degrees of freedom, interval and two-sided p.  A side with fewer than two values, or no variance on both, gives nulls."""
+    by = [*keys, "metric"]
+    side = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("value")))
+    g = values.where("value IS NOT NULL AND NOT isnan(value)").groupBy(*by)
+    g = g.agg(*(side(kind, f).alias(f"{name}{i}") for i, kind in enumerate(("control", "effect")) for name, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
+    one, two = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
+    sign = F.when(is_similarity(F.col("metric")), -1.0).otherwise(1.0)
+    g = g.withColumns({"delta": sign * (F.col("m1") - F.col("m0")), "se": F.nullif(F.sqrt(one + two), F.lit(0.0))})
+    g = g.withColumn("df", (one + two) * (one + two) / F.nullif(one * one / (F.col("n0") - 1) + two * two / (F.col("n1") - 1), F.lit(0.0)))
+    half = t_quantile_column(F.lit((1 + level) / 2), F.col("df")) * F.col("se")
+    p = 2 * t_tail_column(F.abs(F.col("delta") / F.col("se")), F.col("df"))  # 1 at most
+    return g.withColumn("half_", half).select(*by, "delta", "se", "df", (F.col("delta") - F.col("half_")).alias("ci_low"), (F.col("delta") + F.col("half_")).alias("ci_high"), p.alias("p_value"))
+
+
 def two_sample_ks(df: DataFrame, side: str, value: str) -> DataFrame:
     """One row: the largest gap between the distribution functions of side 0 and side 1, and its asymptotic p-value."""
     counts = df.groupBy(F.col(value).alias("v")).agg(F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("b"))

@@ -129,9 +129,9 @@ def strongest_component(spark, sf_dir):
 
 
 def coerced_values(spark, sf_dir):
-    """Numbers out of texts where they are numbers: how many words of every document's start are, and their sum."""
+    """Numbers out of texts where they are numbers: how many words of every document are, and their sum."""
     d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    words = d.select("lang", F.explode(F.split(F.translate(F.substring("text", 1, 400), ".,()", "    "), "[ \n]+")).alias("word")).where(F.col("word").rlike("^[0-9A-Za-z]{1,9}$"))
+    words = d.select("lang", F.explode(F.split(F.translate(F.col("text"), ".,()", "    "), "[ \n]+")).alias("word")).where(F.col("word").rlike("^[0-9A-Za-z]{1,9}$"))
     number = F.expr("try_cast(word AS int)")
     return words.groupBy("lang").agg(F.count("*").alias("n"), F.count(number).alias("numbers"), F.sum(number.cast("long")).alias("total"))
 
@@ -157,8 +157,8 @@ def size_deciles(spark, sf_dir):
 
 
 def csv_round_trip(spark, sf_dir):
-    """Starts of documents written as CSV with a header and read back with the same schema, quotes, line ends and nulls kept apart from empty texts."""
-    s = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, 200).alias("text"))
+    """Documents written as CSV with a header and read back with the same schema, quotes, line ends and nulls kept apart from empty texts."""
+    s = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang", "text")
     path = Scratch(spark, "csv").path("documents")
     s.write.options(header=True, nullValue="\\N", emptyValue="", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     back = spark.read.schema(s.schema).options(header=True, nullValue="\\N", multiLine=True, escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
@@ -262,13 +262,13 @@ ORACLES = {
         SELECT image_id, angle, CAST(sum(k * px[CAST(CASE angle WHEN 0 THEN y * 8 + x WHEN 90 THEN x * 8 + 7 - y WHEN 180 THEN (7 - y) * 8 + 7 - x ELSE (7 - x) * 8 + y END + 1 AS INT)]) AS BIGINT) AS weighed FROM p, a GROUP BY 1, 2""",
     "strongest_component": """WITH m AS (SELECT label, i - 1 AS i, round(avg(embedding[i]::DOUBLE), 9) AS mean FROM embeddings, range(1, 65) t(i) WHERE embedding IS NOT NULL GROUP BY 1, 2)
         SELECT label, CAST(i AS INT) AS component, mean FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY abs(mean) DESC, i) = 1""",
-    "coerced_values": r"""WITH w AS (SELECT lang, unnest(string_split_regex(translate(substr(text, 1, 400), '.,()', '    '), '[ \n]+')) AS word FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+    "coerced_values": r"""WITH w AS (SELECT lang, unnest(string_split_regex(translate(text, '.,()', '    '), '[ \n]+')) AS word FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
         SELECT lang, count(*) AS n, count(TRY_CAST(CASE WHEN regexp_full_match(word, '[0-9]+') THEN word END AS INT)) AS numbers, CAST(sum(TRY_CAST(CASE WHEN regexp_full_match(word, '[0-9]+') THEN word END AS INT)) AS BIGINT) AS total
         FROM w WHERE regexp_full_match(word, '[0-9A-Za-z]{1,9}') GROUP BY 1""",
     "share_of_largest": "SELECT doc_id, source, round(n_chars / max(n_chars) OVER (PARTITION BY source), 9) AS share FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL AND source IS NOT NULL",
     "largest_duplicate_groups": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_doc LIMIT 10",
     "size_deciles": "SELECT lang, " + ", ".join(f"list_sort(list(n_chars::DOUBLE))[CAST(floor((count(*) - 1) * {q / 100}::DOUBLE) AS INT) + 1] AS p{q}" for q in range(10, 100, 10)) + " FROM documents WHERE n_chars IS NOT NULL AND lang IS NOT NULL GROUP BY 1",
-    "csv_round_trip": "SELECT doc_id, lang, md5(substr(text, 1, 200)) AS digest FROM documents WHERE doc_id IS NOT NULL",
+    "csv_round_trip": "SELECT doc_id, lang, md5(text) AS digest FROM documents WHERE doc_id IS NOT NULL",
     "grid_run": """SELECT 'synthetic' AS experiment_family, CASE WHEN i = 0.75 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n,
         round(sum(CASE WHEN i <> 0.75 THEN d + k END), 6) AS mmd, 0::BIGINT AS n_js, 0 AS "left"
         FROM (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(d), (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) b(i), range(10) r(k) GROUP BY 1, 2""",

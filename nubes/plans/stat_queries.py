@@ -40,7 +40,7 @@ def power_twosided(spark, sf_dir):
 
 
 def least_n(spark, sf_dir):
-    return st.least_n(st.power_table(metric_values(spark, sf_dir), ["n"]), target=0.15, alpha=0.10)
+    return st.least_n(st.power_table(metric_values(spark, sf_dir), ["n"]), target=0.8, alpha=0.20)
 
 
 def contrast_table(spark, sf_dir):
@@ -55,15 +55,22 @@ def benjamini_hochberg(spark, sf_dir):
 
 
 def first_detected(spark, sf_dir):
-    """The first month in which the Welch interval of a segment's price over the all-time mean lies above 0."""
+    """The first month in which the 95 % interval of Student's law of a segment's price over the all-time mean lies above 0."""
     t = table(spark, sf_dir, "orders")
     mean = t.agg(F.avg("o_totalprice").alias("mu"))
     rows = t.crossJoin(F.broadcast(mean)).select("o_orderpriority", F.month("o_orderdate").alias("step"), (F.col("o_totalprice") - F.col("mu")).alias("delta"))
-    low = rows.groupBy("o_orderpriority", "step").agg((F.avg("delta") - 0.5 * F.stddev_samp("delta") / F.sqrt(F.count("*"))).alias("ci_low"))
+    by = rows.groupBy("o_orderpriority", "step").agg(F.avg("delta").alias("m"), (F.stddev_samp("delta") / F.sqrt(F.count("*"))).alias("se"), (F.count("*") - 1).cast("double").alias("df"))
+    low = by.select("o_orderpriority", "step", (F.col("m") - st.t_quantile_column(F.lit(0.975), F.col("df")) * F.col("se")).alias("ci_low"))
     out = st.first_detected(rows.join(low, ["o_orderpriority", "step"]), ["o_orderpriority"])
     return out.select("o_orderpriority", "step", r("delta").alias("delta"), r("direction_share").alias("direction_share"))
 
 
+def welch_table(spark, sf_dir):
+    """Effects of every metric and size with Welch intervals."""
+    out = st.welch_table(metric_values(spark, sf_dir), ["n"])
+    return out.select("n", "metric", r("delta", 4).alias("delta"), r("se", 4).alias("se"), r("df", 4).alias("df"), r("ci_low", 3).alias("ci_low"), r("ci_high", 3).alias("ci_high"), r("p_value").alias("p_value"))
+
+
 def trajectories(spark, sf_dir) -> DataFrame:
     """(experiment, step, a, b, c): monthly figures of each order priority."""
     t = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("experiment"), F.month("o_orderdate").alias("step"))
@@ -196,6 +203,11 @@ _VALUES = """v AS (SELECT (l_linenumber % 3 + 1) * 100 AS n, CASE WHEN l_orderke
 c AS (SELECT n, metric, count(*) AS n_control, avg(value) AS mean_control, stddev_samp(value) AS sd_control, list(value ORDER BY value) AS s FROM v WHERE kind = 'control' GROUP BY 1, 2)"""
 
 
+#: P(T > t) by Simpson's rule over 2,000 steps from 0 to t.
+_TAIL = """SELECT {keys}, 0.5::DOUBLE - sign(max({t})) * sum(exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5::DOUBLE * ln(df * pi()) - (df + 1) / 2 * ln(1 + (abs({t}) * i / 2000) ** 2 / df))
+    * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * max(abs({t})) / 6000 AS tail FROM {rows}, range(2001) s(i) WHERE {t} IS NOT NULL GROUP BY ALL"""
+
+
 def _power(alphas: tuple) -> str:
     grid = ", ".join(f"({a!r}::DOUBLE, {1.0 - a!r}::DOUBLE)" for a in alphas)
     return f"""WITH {_VALUES}, a(alpha, up) AS (VALUES {grid}),
@@ -218,13 +230,25 @@ ORACLES = {
     "power_twosided": f"""WITH {_VALUES}, t AS (SELECT n, metric, s[CAST(ceil((n_control - 1) * 0.05::DOUBLE) AS INT) + 1] AS lo, s[CAST(ceil((n_control - 1) * 0.95::DOUBLE) AS INT) + 1] AS hi FROM c)
         SELECT v.n, v.metric, round(avg(CASE WHEN value < lo OR value > hi THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS power, round(any_value(lo), 6) AS threshold_lower, round(any_value(hi), 6) AS threshold_upper
         FROM v JOIN t ON v.n = t.n AND v.metric = t.metric WHERE kind = 'effect' GROUP BY 1, 2""",
-    "least_n": _power(st.ALPHAS) + " SELECT metric, min(CASE WHEN alpha = 0.1::DOUBLE AND power >= 0.15::DOUBLE THEN n END) AS min_n FROM p GROUP BY 1",
+    "least_n": _power(st.ALPHAS) + " SELECT metric, min(CASE WHEN alpha = 0.2::DOUBLE AND power >= 0.8::DOUBLE THEN n END) AS min_n FROM p GROUP BY 1",
     "contrast_table": f"""WITH {_VALUES}, d AS (SELECT l_orderkey, l_linenumber, v.n, v.metric, CASE WHEN v.metric LIKE 'precision%' THEN -1 ELSE 1 END * (value - mean_control) AS delta, sd_control
         FROM v LEFT JOIN c ON v.n = c.n AND v.metric = c.metric WHERE kind = 'effect') SELECT l_orderkey, l_linenumber, n, metric, round(delta, 4) AS delta, round(delta / (sd_control + 1e-12::DOUBLE), 6) AS z FROM d""",
     "benjamini_hochberg": _BH,
-    "first_detected": """WITH m AS (SELECT avg(o_totalprice) AS mu FROM orders), d AS (SELECT o_orderpriority, month(o_orderdate) AS step, o_totalprice - mu AS delta FROM orders, m),
-        g AS (SELECT o_orderpriority, step, avg(delta) AS delta, avg(delta) - 0.5::DOUBLE * stddev_samp(delta) / sqrt(count(*)) AS low, avg(CASE WHEN delta > 0 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM d GROUP BY 1, 2)
-        SELECT o_orderpriority, CAST(min(step) FILTER (low > 0) AS INT) AS step, round(arg_min(delta, step) FILTER (low > 0), 6) AS delta, round(arg_min(share, step) FILTER (low > 0), 6) AS direction_share FROM g GROUP BY 1""",
+    # the interval lies above 0 where the upper tail beyond mean / se is under 0.025
+    "first_detected": f"""WITH m AS (SELECT avg(o_totalprice) AS mu FROM orders), d AS (SELECT o_orderpriority, month(o_orderdate) AS step, o_totalprice - mu AS delta FROM orders, m),
+        g AS (SELECT o_orderpriority, step, avg(delta) AS delta, avg(delta) / (stddev_samp(delta) / sqrt(count(*))) AS t, (count(*) - 1)::DOUBLE AS df, avg(CASE WHEN delta > 0 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM d GROUP BY 1, 2),
+        p AS ({_TAIL.format(rows='g', t='t', keys='o_orderpriority, step')}), h AS (SELECT g.*, tail < 0.025 AS found FROM g LEFT JOIN p USING (o_orderpriority, step))
+        SELECT o_orderpriority, CAST(min(step) FILTER (found) AS INT) AS step, round(arg_min(delta, step) FILTER (found), 6) AS delta, round(arg_min(share, step) FILTER (found), 6) AS direction_share FROM h GROUP BY 1""",
+    # the quantile by its expansion in 1 / df, exact to 1e-9 at the hundreds of degrees of freedom here
+    "welch_table": f"""WITH {_VALUES}, g AS (SELECT n, metric, avg(value) FILTER (kind = 'control') AS m0, var_samp(value) FILTER (kind = 'control') / count(*) FILTER (kind = 'control') AS a, count(*) FILTER (kind = 'control') AS n0,
+          avg(value) FILTER (kind = 'effect') AS m1, var_samp(value) FILTER (kind = 'effect') / count(*) FILTER (kind = 'effect') AS b, count(*) FILTER (kind = 'effect') AS n1 FROM v GROUP BY 1, 2),
+        e AS (SELECT n, metric, CASE WHEN metric LIKE 'precision%' THEN -1 ELSE 1 END * (m1 - m0) AS delta, sqrt(a + b) AS se, (a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1)) AS df FROM g),
+        k AS (SELECT n, metric, df, 1.9599639845400545::DOUBLE AS z FROM e),
+        q AS (SELECT n, metric, z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+          + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * df**4) AS q FROM k),
+        f AS (SELECT n, metric, df, abs(delta / se) AS t FROM e), p AS ({_TAIL.format(rows='f', t='t', keys='n, metric')})
+        SELECT n, metric, round(delta, 4) AS delta, round(se, 4) AS se, round(df, 4) AS df, round(delta - q * se, 3) AS ci_low, round(delta + q * se, 3) AS ci_high, round(least(1.0::DOUBLE, 2 * tail), 6) AS p_value
+        FROM e JOIN q USING (n, metric) JOIN p USING (n, metric)""",
     "trajectory_correlation": f"""WITH t AS (SELECT o_orderpriority AS experiment, month(o_orderdate) AS step, round(avg(o_totalprice), 6) AS a, count(*)::DOUBLE AS b, 1 - avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS c FROM orders GROUP BY 1, 2),
         k AS (SELECT experiment, {_RANK.format('a')} AS ra, {_RANK.format('b')} AS rb, {_RANK.format('c')} AS rc FROM t),
         e AS (SELECT experiment, corr(ra, rb) AS ab, corr(ra, rc) AS ac, corr(rb, rc) AS bc FROM k GROUP BY 1)
@@ -242,6 +266,11 @@ ORACLES = {
         w AS (SELECT lang, pos, sum(pos) OVER q AS tp, sum(c) OVER q AS upto FROM s WINDOW q AS (PARTITION BY lang ORDER BY score DESC)),
         z AS (SELECT lang, sum(pos / p::DOUBLE * tp / upto) AS ap FROM w JOIN u USING (lang) GROUP BY 1)
         SELECT lang, CASE WHEN p > 0 AND n > 0 THEN round(auroc, 6) END AS auroc, CASE WHEN p > 0 AND n > 0 THEN round(ap, 6) END AS auprc, CASE WHEN p > 0 AND n > 0 THEN round(ba, 6) END AS balanced_accuracy FROM u JOIN z USING (lang)""",
+    "two_sample_ks": f"""WITH t AS (SELECT quality, n_chars FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+        c AS (SELECT n_chars, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS b FROM t GROUP BY 1),
+        u AS (SELECT sum(a) OVER (ORDER BY n_chars) AS fa, sum(b) OVER (ORDER BY n_chars) AS fb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c),
+        g AS (SELECT max(abs(fa / na - fb / nb)) AS d, max(na)::DOUBLE AS na, max(nb)::DOUBLE AS nb FROM u), l AS (SELECT d, d * sqrt(na * nb / (na + nb)) AS lam FROM g)
+        SELECT round(d, 6) AS ks_stat, round(CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * (SELECT sum((-1) ** (j - 1) * exp(-2.0::DOUBLE * j * j * lam * lam)) FROM range(1, 101) s(j)))) END, 6) AS ks_p FROM l""",
     "grouped_bootstrap": f"""WITH c AS (SELECT c_nationkey, sum(c_acctbal) AS s, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY 1),
         i AS (SELECT *, row_number() OVER (ORDER BY c_nationkey) AS place FROM c),
         d AS (SELECT r AS resample, {_CODE.format('r', 'place', 12)} % (SELECT count(*) FROM c) + 1 AS place FROM i, range(50) t(r)),
@@ -266,7 +295,7 @@ ORACLES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        power_table, power_twosided, least_n, contrast_table, benjamini_hochberg, first_detected, trajectory_correlation, correlation_by_group, moment_diagnostics, detection_quality, two_sample_ks,
+        power_table, power_twosided, least_n, contrast_table, benjamini_hochberg, first_detected, welch_table, trajectory_correlation, correlation_by_group, moment_diagnostics, detection_quality, two_sample_ks,
         grouped_bootstrap, paired_permutation, score_statistics, packet_features, describe_lengths, closest_level, threshold_calibration, calibration_intervals, effect_table, evaluate_detection, evaluate_regression,
     )
 }

@@ -110,7 +110,9 @@ GRIDS = {"s0": [S0], "s1": [S1], "s1samelaw": [S1_SAME], "s3": [S3], "s4": [S4],
 
 def mixtures(layers, alphas, repeats: int, n_cloud: int = 500) -> list[Family]:
     """Direct, length-matched and shuffled comparisons by layer and repeat, and independent and paired mixtures by alpha."""
-    base = sized(n_cloud, dataset="qa", layer=("of", "layer"), seed=("of", "k"))
+    # fixed values of the published families
+    fixed = {"dataset": "halueval_qa", "model": "qwen2.5-3b-instruct", "representation": "hidden", "pooling": "mean_answer", "split_id": "dev"}
+    base = sized(n_cloud, layer=("of", "layer"), seed=("of", "k"), **fixed)
     by_layer = (axis("layer", layers), axis("k", range(repeats)))
     by_alpha = (axis("layer", layers), axis("alpha", alphas), axis("k", range(repeats)))
     plain = {"l3/{layer}/direct/r{k}": "l3_direct", "l3d/{layer}/r{k}": "l3d_length_matched", "l3e/{layer}/r{k}": "l3e_shuffled_label"}
