@@ -10,6 +10,7 @@ from nubes.functions.statistics import least_n, power_table
 from nubes.operators import clouds, fused, metrics, trial_neighbours, trials
 from nubes.plans.cloud_queries import _CELL, _CTE, _POOL, ORACLES as CLOUDS, pair, r9
 from nubes.plans.scratch import Scratch
+from nubes.sources.block_runs import BlockRun
 
 PERMUTATIONS, RESAMPLES, SEED = 20, 20, 42
 SIZES, REPEATS, STRETCH = [20, 40, 80], 10, 1.5
@@ -75,6 +76,21 @@ def empirical_power_values(spark, sf_dir):
     return power_values(spark, sf_dir)
 
 
+def power_blocks(spark, sf_dir):
+    """The same values as a run of a block for each size and kind, broken off after the first size and taken up again."""
+    values = Scratch(spark, "power").keep(power_values(spark, sf_dir), "values")
+    path = Scratch(spark, "run").path("power")
+    blocks = [{"n": n, "kind": kind} for n in SIZES for kind in ("control", "effect")]
+    compute = lambda b: values.where((F.col("n") == b["n"]) & (F.col("kind") == b["kind"]))
+    params = {"seed": SEED, "repeats": REPEATS, "stretch": STRETCH}
+    for some in (blocks[:2], blocks):
+        with BlockRun(spark, path, ["n", "kind"], params) as run:
+            states = run.run(some, compute)
+    if [s["status"] for s in states] != ["kept"] * 2 + ["ok"] * 4:
+        raise RuntimeError(f"blocks were not resumed: {states}")
+    return run.frame("repeat int, metric string, value double, n int, kind string").select("n", "kind", "repeat", "metric", "value")
+
+
 def empirical_power(spark, sf_dir):
     """Power at every size and alpha from those pairs."""
     out = power_table(power_values(spark, sf_dir), ["n"])
@@ -96,7 +112,7 @@ def all_metrics_wide(spark, sf_dir):
     return row.select(*(r9(c).alias(c) for c in row.columns))
 
 
-QUERIES = {f.__name__: f for f in (permutation_test, bootstrap_interval, permutation_metrics, bootstrap_metrics, empirical_power_values, empirical_power, empirical_min_n, all_metrics, all_metrics_wide)}
+QUERIES = {f.__name__: f for f in (permutation_test, bootstrap_interval, permutation_metrics, bootstrap_metrics, empirical_power_values, power_blocks, empirical_power, empirical_min_n, all_metrics, all_metrics_wide)}
 
 _ENERGY = """v AS (SELECT t.trial, 2 * max(pq) / (max(np) * max(nq)) - max(pp) / (max(np) * max(np)) - max(qq) / (max(nq) * max(nq)) AS value FROM (
     SELECT a.trial, sum(CASE WHEN a.side = 'p' AND b.side = 'p' THEN a.w * b.w * d END) AS pp, sum(CASE WHEN a.side = 'q' AND b.side = 'q' THEN a.w * b.w * d END) AS qq,
@@ -174,6 +190,7 @@ ORACLES = {
       e AS (SELECT mean, vs[CAST(floor((len(vs) - 1) * 0.025::DOUBLE) AS INT) + 1] AS lo, vs[CAST(ceil((len(vs) - 1) * 0.975::DOUBLE) AS INT) + 1] AS hi FROM s)
       SELECT 'energy' AS metric, round(mean, 9) AS mean, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, round(hi - lo, 9) AS width FROM e""",
     "empirical_power_values": f"{_VALUES} SELECT * FROM long",
+    "power_blocks": f"{_VALUES} SELECT * FROM long",
     "empirical_power": f"{_POWER} SELECT n, 'energy' AS metric, alpha, round(power, 9) AS power, round(threshold, 9) AS threshold, power >= 0.8 AS target_met FROM pow",
     "empirical_min_n": f"{_POWER} SELECT 'energy' AS metric, min(CASE WHEN alpha = 0.05::DOUBLE AND power >= 0.8 THEN n END) AS min_n FROM pow",
     "all_metrics": f"{_CTE} SELECT (SELECT mmd FROM ({CLOUDS['mmd']})) AS mmd, (SELECT js FROM ({CLOUDS['js_divergence']})) AS js, "
