@@ -271,6 +271,19 @@ def two_sample_ks(df: DataFrame, side: str, value: str) -> DataFrame:
     return gap.select("ks_stat", F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series))).alias("ks_p"))
 
 
+def strong_level(rows: DataFrame, keys: list[str], level: str, z: str, limit: float = 3.0) -> DataFrame:
+    """(keys..., first_level, max_z): the least level with |z| of ``limit`` or more, null where there is none, and the largest |z|."""
+    size = F.abs(F.when(~F.isnan(z), F.col(z)))
+    return rows.groupBy(*keys).agg(F.min(F.when(size >= limit, F.col(level))).alias("first_level"), F.max(size).alias("max_z"))
+
+
+def joint_means(values: DataFrame, repeat: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(resample, metric, value): means of (repeat, metric, value) when repeats are drawn anew, the same draw for all metrics, so that they
+    can be set against each other within a resample."""
+    drawn = bootstrap_draws(values, repeat, resamples, seed).join(values, repeat)
+    return drawn.groupBy("resample", "metric").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("value"))
+
+
 def bootstrap_draws(groups: DataFrame, key: str, resamples: int, seed: int = 0) -> DataFrame:
     """(resample, key, times): whole groups drawn with replacement, as many as there are, for each resample.
 

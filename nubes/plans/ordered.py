@@ -77,3 +77,22 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, levels: dict[st
         place = (F.ceil if way == "higher" else F.floor)((F.col("n_") - 1) * F.lit(float(q))) + 1
         found.append(F.min(F.when(F.col("upto_") >= place, F.col(value))).alias(name))
     return rows.groupBy(*keys).agg(*found)
+
+
+def linear_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """One row for each key with, per name in ``levels``, the quantile q between the two order statistics around (n - 1) * q, by their
+    distance from it."""
+    ends = {}
+    for name, q in levels.items():
+        ends |= {f"{name}_low": (q, "lower"), f"{name}_high": (q, "higher")}
+    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias(value))
+    stats = order_statistics(clean, keys, value, ends)
+    sizes = clean.groupBy(*keys).agg(F.count("*").alias("n_"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    sizes = sizes.select(*(F.col(k).alias(f"of_{k}") for k in keys), "n_")
+    rows = stats.join(sizes, same) if keys else stats.crossJoin(F.broadcast(sizes))
+    place = lambda q: (F.col("n_") - 1) * F.lit(float(q))
+    cells = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place(q) - F.floor(place(q)))).alias(name) for name, q in levels.items()]
+    return rows.select(*keys, *cells)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nubes.plans.ordered import linear_quantiles
 from nubes.functions import models, statistics as st
 
 
@@ -117,7 +118,7 @@ def grouped_bootstrap(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL")
     per = c.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("s"), F.count("*").alias("n"))
     means = st.bootstrap_draws(c, "c_nationkey", 50).join(per, "c_nationkey").groupBy("resample").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
-    return means.agg(*(r(F.percentile("m", q), 4).alias(name) for name, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))))
+    return linear_quantiles(means, [], "m", {"low": 0.025, "median": 0.5, "high": 0.975}).select(*(r(c, 4).alias(c) for c in ("low", "median", "high")))
 
 
 def paired_permutation(spark, sf_dir):
@@ -150,9 +151,9 @@ def packet_features(spark, sf_dir):
 
 def describe_lengths(spark, sf_dir):
     t = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL")
-    q = F.percentile("n_chars", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = t.groupBy("lang").agg(F.count("*").alias("count"), r(F.avg("n_chars")).alias("mean"), r(F.stddev_samp("n_chars")).alias("std"), F.min("n_chars").alias("min"), q.alias("q"), F.max("n_chars").alias("max"))
-    return out.select("lang", "count", "mean", "std", "min", "max", *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("q25", "median", "q75"))))
+    q = linear_quantiles(t.select("lang", F.col("n_chars").cast("double").alias("n_chars")), ["lang"], "n_chars", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    out = t.groupBy(F.col("lang").alias("l_")).agg(F.count("*").alias("count"), r(F.avg("n_chars")).alias("mean"), r(F.stddev_samp("n_chars")).alias("std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"))
+    return out.join(q, F.col("l_").eqNullSafe(F.col("lang"))).select("lang", "count", "mean", "std", "min", "max", *(r(c).alias(c) for c in ("q25", "median", "q75")))
 
 
 def closest_level(spark, sf_dir):
@@ -167,7 +168,7 @@ def threshold_calibration(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") % 2).alias("half"), F.col("l_discount").alias("v"))
     base = t.where("half = 0").groupBy("l_returnflag").agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n"))
     z = t.join(base.where("n >= 50"), "l_returnflag").select("l_returnflag", "half", r(F.abs(F.col("v") - F.col("mu")) / F.col("sd"), 9).alias("z"))
-    crit = z.where("half = 0").groupBy("l_returnflag").agg(F.percentile("z", 0.95).alias("z_crit"))
+    crit = linear_quantiles(z.where("half = 0").select("l_returnflag", "z"), ["l_returnflag"], "z", {"z_crit": 0.95})
     return z.where("half = 1").join(crit, "l_returnflag").groupBy("l_returnflag").agg(r(F.first("z_crit")).alias("z_crit"), r(F.avg((F.col("z") > F.col("z_crit")).cast("int"))).alias("fpr"), F.count("*").alias("n"))
 
 
@@ -266,6 +267,12 @@ ORACLES = {
         w AS (SELECT lang, pos, sum(pos) OVER q AS tp, sum(c) OVER q AS upto FROM s WINDOW q AS (PARTITION BY lang ORDER BY score DESC)),
         z AS (SELECT lang, sum(pos / p::DOUBLE * tp / upto) AS ap FROM w JOIN u USING (lang) GROUP BY 1)
         SELECT lang, CASE WHEN p > 0 AND n > 0 THEN round(auroc, 6) END AS auroc, CASE WHEN p > 0 AND n > 0 THEN round(ap, 6) END AS auprc, CASE WHEN p > 0 AND n > 0 THEN round(ba, 6) END AS balanced_accuracy FROM u JOIN z USING (lang)""",
+    # twice the normal tail by Simpson's rule up to 8.5 deviations
+    "effect_table": f"""WITH {_VALUES}, g AS (SELECT n, metric, avg(value) FILTER (kind = 'control') AS m0, stddev_samp(value) FILTER (kind = 'control') AS s0, avg(value) FILTER (kind = 'effect') AS m1, count(*) FILTER (kind = 'effect') AS n1 FROM v GROUP BY 1, 2),
+        e AS (SELECT n, metric, CASE WHEN metric LIKE 'precision%' THEN -1 ELSE 1 END * (m1 - m0) AS delta, CASE WHEN s0 > 0 THEN CASE WHEN metric LIKE 'precision%' THEN -1 ELSE 1 END * (m1 - m0) / (s0 / sqrt(n1)) END AS z FROM g),
+        p AS (SELECT n, metric, greatest(0.0::DOUBLE, 1 - 2 * sum(exp(-0.5::DOUBLE * (least(abs(z), 8.5) * i / 2000) ** 2) / sqrt(2 * pi()) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * max(least(abs(z), 8.5)) / 6000) AS p
+          FROM e, range(2001) s(i) GROUP BY 1, 2)
+        SELECT n, metric, round(delta, 6) AS delta, round(z, 6) AS z_mean, round(p, 6) AS p_value FROM e JOIN p USING (n, metric)""",
     "two_sample_ks": f"""WITH t AS (SELECT quality, n_chars FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
         c AS (SELECT n_chars, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS b FROM t GROUP BY 1),
         u AS (SELECT sum(a) OVER (ORDER BY n_chars) AS fa, sum(b) OVER (ORDER BY n_chars) AS fb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c),
