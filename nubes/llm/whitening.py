@@ -29,7 +29,7 @@ SCALE, SHIFT = 1024, 100_000
 #: Vectors of a block.
 BLOCK = 4096
 #: Tasks that merge the sums of all tasks before they go to the driver.
-MERGERS = 16
+MERGERS = 4
 TOLERANCE = 2e-14
 #: Rounds until the block is the whole space at the latest, and the degrees of a round's polynomial.
 ROUNDS, LEAST_DEGREE, MOST_DEGREE = 40, 2, 12
