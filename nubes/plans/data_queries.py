@@ -225,7 +225,28 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^{_EDGE}+|{_EDGE}+$', '', 'g')"
 
 
+_AUDITED = {"correct_chars": "cc", "hallucinated_chars": "hc", "correct_words": "cw", "hallucinated_words": "hw", "diff_chars": "hc - cc", "diff_words": "hw - cw"}
+
+
+def _audit() -> str:
+    blank = lambda c: f"coalesce({_strip(c)}, '') = ''"
+    words = lambda c: f"coalesce(len(regexp_extract_all({c}, '[^\\s\\x1c-\\x1f\\x85\\p{{Z}}]+')), 0)"
+    figures = ", ".join(
+        f"round(avg({x}), 6) AS {n}_mean, round(stddev_samp({x}), 6) AS {n}_std, CAST(min({x}) AS BIGINT) AS {n}_min, round(quantile_cont({x}, 0.5), 6) AS {n}_median, CAST(max({x}) AS BIGINT) AS {n}_max"
+        for n, x in _AUDITED.items()
+    )
+    return f"""WITH {_RAWQ}, k AS (SELECT sha1(coalesce({_strip('knowledge')}, '') || chr(31) || coalesce({_strip('question')}, '')) AS prompt_id, {blank('question')} AS ep, {blank('right_answer')} AS ec, {blank('hallucinated_answer')} AS eh,
+          coalesce({_strip('right_answer')}, '') AS c, coalesce({_strip('hallucinated_answer')}, '') AS h, coalesce(length(right_answer), 0) AS cc, coalesce(length(hallucinated_answer), 0) AS hc,
+          {words('right_answer')} AS cw, {words('hallucinated_answer')} AS hw FROM r),
+        u AS (SELECT count(*) AS n, coalesce(sum(n - 1), 0) AS d FROM (SELECT count(*) AS n FROM k GROUP BY prompt_id))
+        SELECT count(*) AS n_rows, count(*) FILTER (ep) AS n_empty_prompt, count(*) FILTER (ec) AS n_empty_correct, count(*) FILTER (eh) AS n_empty_hallucinated, count(*) FILTER (NOT ec AND NOT eh) AS n_with_both_answers,
+          count(*) FILTER (NOT ec AND c = h) AS n_correct_equals_hallucinated, count(*) FILTER (hc > cc) AS n_longer, count(*) FILTER (hc < cc) AS n_shorter, count(*) FILTER (hc = cc) AS n_equal, {figures},
+          (SELECT n FROM u) AS n_unique_prompt_ids, (SELECT CAST(d AS BIGINT) FROM u) AS n_duplicate_prompt_ids,
+          (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY c HAVING count(*) > 1)) AS n_duplicate_correct_answers, (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY h HAVING count(*) > 1)) AS n_duplicate_hallucinated_answers FROM k"""
+
+
 ORACLES = {
+    "audit_pairs": _audit(),
     "canonical_pairs": f"""WITH {_RAWQ}, k AS (SELECT *, sha1(coalesce({_strip('knowledge')}, '') || chr(31) || coalesce({_strip('question')}, '')) AS prompt_id FROM r
           WHERE coalesce({_strip('question')}, '') <> '' AND coalesce({_strip('right_answer')}, '') <> '' AND coalesce({_strip('hallucinated_answer')}, '') <> ''),
         f AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY row_id) AS first FROM k)
