@@ -7,6 +7,7 @@ import json
 import math
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nubes.sources import grids
+from nubes.sources.block_runs import AlreadyClaimed, Files
 
 # The columns of the result format.
 CONFIG = {
@@ -69,6 +71,19 @@ class ResultStore:
         last = rows.groupBy("config_key").agg(F.max("batch").alias("batch"))
         return rows.join(last, ["config_key", "batch"]).select(*self.spark.createDataFrame([], SCHEMA).columns)
 
+    @contextmanager
+    def _claimed(self):
+        """Checks and the write they allow happen under a claim file that one writer at a time can create."""
+        files = Files(self.spark, self.path)
+        try:
+            files.write("_claim", "", overwrite=False)
+        except Exception as e:
+            raise AlreadyClaimed(f"{self.path} is being written; delete its _claim if that writer is gone") from e
+        try:
+            yield
+        finally:
+            files.delete("_claim")
+
     def _write(self, rows: DataFrame) -> None:
         """A batch is numbered above all that its writer can see, so a clock that goes back reorders nothing."""
         seen = self.spark.read.schema(SCHEMA + ", batch long").parquet(self.path).agg(F.max("batch")).first()[0] if self._exists() else None
@@ -76,15 +91,17 @@ class ResultStore:
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows; a key that is stored already, or twice among them, is an error."""
-        if not rows.groupBy("config_key").count().where("count > 1").isEmpty() or not rows.join(self.frame(), "config_key", "left_semi").isEmpty():
-            raise ValueError("a config_key occurs twice")
-        self._write(rows)
+        with self._claimed():
+            if not rows.groupBy("config_key").count().where("count > 1").isEmpty() or not rows.join(self.frame(), "config_key", "left_semi").isEmpty():
+                raise ValueError("a config_key occurs twice")
+            self._write(rows)
 
     def replace(self, rows: DataFrame) -> None:
         """Adds rows in place of those with the same keys."""
         if not rows.groupBy("config_key").count().where("count > 1").isEmpty():
             raise ValueError("a config_key occurs twice")
-        self._write(rows)
+        with self._claimed():
+            self._write(rows)
 
     def missing(self, configs: DataFrame, retry_failed: bool = False) -> DataFrame:
         """The configs (with config_key) that have no row, or a failed one if ``retry_failed``."""

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from nubes.operators import sampling
+from nubes.sources.block_runs import AlreadyClaimed
 from nubes.sources import pairs, store
 
 
@@ -42,6 +43,12 @@ def test_store_resumes_replaces_and_refuses(spark, tmp_path):
     assert s.manifest()["failed"] == 0 and s.frame().count() == 4 and s.broken_keys().isEmpty()
     with pytest.raises(ValueError, match="twice"):
         s.append(s.frame())
+    (tmp_path / "store/_claim").touch()  # as another writer would
+    with pytest.raises(AlreadyClaimed):
+        s.replace(s.frame())
+    (tmp_path / "store/_claim").unlink()
+    s.replace(s.frame())
+    assert s.frame().count() == 4 and not (tmp_path / "store/_claim").exists()
     with pytest.raises(ValueError, match="unknown"):
         store.result_row({"experiment_id": "x"}, {"nope": 1.0}, 0.0)
     with pytest.raises(ValueError):
