@@ -104,13 +104,15 @@ def pair_blocks(left: DataFrame, right: DataFrame, right_n: int, kernel: Callabl
     """
     count = block_count(right_n)
     names_a, names_b = left.columns, right.columns
-    wide = min(grid_width(left.sparkSession, right_n), max(count, 1)) if halved else grid_width(left.sparkSession, right_n)
+    wide = grid_width(left.sparkSession, right_n)
+    columns = min(wide, count)
+    rows = columns if halved else wide
     numbers = lambda low, high: F.explode(F.sequence(low, high))
-    dealt = left.select(*(F.col(c).alias(f"{c}_a") for c in names_a)).withColumn("row_", F.pmod("block_a", F.lit(wide)))
-    dealt = dealt.withColumn("col_", numbers(F.col("row_") if halved else F.lit(0), F.lit(wide - 1)))
-    others = right.select(*(F.col(c).alias(f"{c}_b") for c in names_b)).withColumn("col_", F.pmod("block_b", F.lit(wide)))
-    others = others.withColumn("row_", numbers(F.lit(0), F.col("col_") if halved else F.lit(wide - 1)))
-    cells = wide * (wide + 1) // 2 if halved else wide * wide
+    dealt = left.select(*(F.col(c).alias(f"{c}_a") for c in names_a)).withColumn("row_", F.pmod("block_a", F.lit(rows)))
+    dealt = dealt.withColumn("col_", numbers(F.col("row_") if halved else F.lit(0), F.lit(columns - 1)))
+    others = right.select(*(F.col(c).alias(f"{c}_b") for c in names_b)).withColumn("col_", F.pmod("block_b", F.lit(columns)))
+    others = others.withColumn("row_", numbers(F.lit(0), F.col("col_") if halved else F.lit(rows - 1)))
+    cells = rows * (rows + 1) // 2 if halved else rows * columns
     met = dealt.repartition(cells, "row_", "col_").join(others.repartition(cells, "row_", "col_"), ["row_", "col_"])
     if halved:
         met = met.where("row_ < col_ OR block_a <= block_b")
