@@ -1,8 +1,8 @@
 """Links between things that share a key, and the components those links make, without all pairs of a group.
 
-``resolve`` gets rows (key, item, size): only items with a common key can be linked.  It first compares every item with one
-representative per key, then joins what is linked into components, repeats that with another representative, and at last
-compares those pairs under a common key that are still in different components.  Pairs inside a component need no comparison,
+``resolve`` gets the groups of ``meetings``: only items of a common group can be linked.  It first compares every item with the
+smallest one of the group that it shares most with, then joins what is linked into components, repeats that with another
+representative of each group, and at last compares those pairs of a group that are still in different components.  Pairs inside a component need no comparison,
 since they cannot change it.  The result is that of comparing all pairs under a common key.
 
 In the last step the items of keys that hold many are dealt into blocks of bounded content.  Blocks that meet under a key are
@@ -62,20 +62,17 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def meetings(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The rows (key, item, size) whose key two or more items have, each with the smallest item of its key as ``rep``
-    and that one's size as ``rep_size``.
+    """(key, item, shared) from rows (key, item): each item stands with the smallest item of every key that others have too.
 
-    One shuffle of the rows: sorted under their key, a row knows its group's first item and whether another one follows.
+    The new ``key`` is that smallest item, which is in its group as well; ``shared`` counts the keys that brought an item there.
+    Items with a common key have a common smallest item, so these groups hold every pair that the keys held, in far fewer rows.
+    One shuffle of the rows: sorted under their key, a row knows its group's first item.
     """
-    inside = Window.partitionBy("key").orderBy("item")
-    once = members.select("key", "item", "size", F.lag("item").over(inside).alias("last")).where("NOT last <=> item").drop("last")
-    rows = once.select(
-        "key", "item", "size",
-        F.first("item").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rep"),
-        F.first("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rep_size"),
-        F.lead("item").over(inside).alias("next"),
-    )
-    return scratch.keep(rows.where("item > rep OR next IS NOT NULL").drop("next"), name)
+    inside = Window.partitionBy("key").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
+    rows = members.select("item", F.first("item").over(inside).alias("rep")).where("item > rep").groupBy("rep", "item").count()
+    own = F.struct("item", F.col("count").alias("shared"))
+    rows = rows.select(F.col("rep").alias("key"), F.explode(F.array(own, F.struct(F.col("rep").alias("item"), F.lit(0).cast("long").alias("shared")))).alias("x"))
+    return scratch.keep(rows.groupBy("key", "x.item").agg(F.max("x.shared").alias("shared")), name)
 
 
 def joining(compare: Callable[[list, list, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable:
@@ -138,16 +135,16 @@ def block_links(large: DataFrame, contents: Callable[[DataFrame], DataFrame], co
 
 
 def resolve(met: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: F.Column, scratch: Scratch, contents: Callable[[DataFrame], DataFrame], compare: Callable) -> DataFrame:
-    """(item, component) of linked items from the rows of ``meetings``.
+    """(item, component) of linked items from the rows of ``meetings``, with the ``size`` of each item.
 
     ``verify`` gets distinct pairs (a, b) and returns those linked.  ``fits`` is a condition on the sizes ``size_a`` and
     ``size_b`` that every link fulfils.  ``contents`` gets distinct items (item) and returns (item, content); ``compare`` gets
     the contents of two blocks and a matrix of pairs to look at, and returns the positions of those linked.
     """
-    # turn 0: each item with the representative that it shares most keys with
-    near = met.where("item <> rep").withColumnsRenamed({"size": "size_a", "rep_size": "size_b"}).where(fits)
-    shared = near.groupBy("item", "rep").count()
-    pairs = shared.groupBy("item").agg(F.max_by("rep", F.struct("count", "rep")).alias("b")).select(F.col("item").alias("a"), "b")
+    # turn 0: each item with the smallest one of the group that it shares most keys with
+    reps = met.where("item = key").select(F.col("key").alias("rep"), F.col("size").alias("size_b"))
+    near = met.where("item <> key").withColumnRenamed("size", "size_a").join(reps, F.col("key") == F.col("rep")).where(fits)
+    pairs = near.groupBy("item").agg(F.max_by("key", F.struct("shared", "key")).alias("b")).select(F.col("item").alias("a"), "b")
     links = scratch.keep(verify(pairs), "links_0")
     joined = components(links, scratch, "joined_0")
     for turn in (1, 2):
