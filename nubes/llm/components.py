@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nubes.plans.scratch import Scratch
@@ -61,15 +61,31 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("v").alias("item"), F.col("m").alias("component"))
 
 
+def with_least(batches):
+    """(rep, item) of the rows (key, item), sorted, that aren't the first of their key; ``rep`` is that first item."""
+    last_key = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, item = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        least = item[start]
+        least[start < 0] = last if last is not None else 0  # the key goes on from the batch before
+        last_key, last = key[-1], least[-1]
+        more = item > least
+        yield pa.RecordBatch.from_arrays([pa.array(least[more]), pa.array(item[more])], ["rep", "item"])
+
+
 def meetings(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(key, item, shared) from rows (key, item): each item stands with the smallest item of every key that others have too.
 
     The new ``key`` is that smallest item, which is in its group as well; ``shared`` counts the keys that brought an item there.
     Items with a common key have a common smallest item, so these groups hold every pair that the keys held, in far fewer rows.
-    One shuffle of the rows: sorted under their key, a row knows its group's first item.
+    One shuffle of the rows, which then pass in the order of their keys; no key's rows are held.
     """
-    inside = Window.partitionBy("key").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    rows = members.select("item", F.first("item").over(inside).alias("rep")).where("item > rep").groupBy("rep", "item").count()
+    rows = members.select("key", "item").repartition("key").sortWithinPartitions("key", "item").mapInArrow(with_least, "rep long, item long")
+    rows = rows.groupBy("rep", "item").count()
     own = F.struct("item", F.col("count").alias("shared"))
     rows = rows.select(F.col("rep").alias("key"), F.explode(F.array(own, F.struct(F.col("rep").alias("item"), F.lit(0).cast("long").alias("shared")))).alias("x"))
     return scratch.keep(rows.groupBy("key", "x.item").agg(F.max("x.shared").alias("shared")), name)

@@ -6,6 +6,8 @@ with equal content are one item; items are grouped further by links.  Of a group
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,14 +58,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = part.column(at)
                 block, starts, ends, owner, no = line_block(texts)
-                items = block.span_hash(starts, ends).view(np.int64)
                 first = np.searchsorted(owner, np.arange(block.n + 1))
-                out, count = plain(texts).to_pylist(), np.zeros(block.n, np.int64)
-                for i, gone_lines in enumerate(part.column(by).to_pylist()):
-                    if gone_lines:
-                        here = {g["no"] for g in gone_lines if g["no"] < first[i + 1] - first[i] and items[first[i] + g["no"]] == g["item"]}
-                        count[i] = len(here)
-                        out[i] = "\n".join(line for k, line in enumerate(out[i].split("\n")) if k not in here)
+                gone = part.column(by)
+                of = np.repeat(np.arange(block.n), gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                number, item = (gone.flatten().field(k).to_numpy() for k in (0, 1))
+                there = number < (first[1:] - first[:-1])[of]
+                of, line, item = of[there], (first[of] + number)[there], item[there]
+                line = line[block.span_hash(starts[line], ends[line]).view(np.int64) == item]
+                stays = np.ones(len(starts), bool)
+                stays[line] = False
+                count = np.bincount(owner[~stays], minlength=block.n)
+                out = plain(texts).to_pylist()
+                for i in np.flatnonzero(count).tolist():
+                    out[i] = "\n".join(compress(out[i].split("\n"), stays[first[i] : first[i + 1]].tolist()))
                 kept = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(part.columns) if k != by]
                 if texts.null_count:
                     spot = at - (by < at)
