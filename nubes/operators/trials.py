@@ -13,9 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubes.operators.clouds import blocks, itself, near_squared, pair_blocks
+from nubes.operators.clouds import Sums, blocks, itself, near_squared, pair_blocks
 from nubes.plans.ordered import order_statistics, ranked
 
+#: Weights that a task keeps for the parts it has seen.
+WEIGHTS = 1 << 24
+
+
 def draw(*parts) -> F.Column:
     """A number in 0 .. 2**32 - 1 from the md5 of the parts, which any engine can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
@@ -43,18 +47,36 @@ def trial_sums(points: DataFrame, trials: int, gamma: float | None = None) -> Da
     distance, or times exp(-gamma d^2) where gamma is given, pairs of a point with itself counted."""
     n = points.count()
 
-    def kernel(a, x, of_a, b, y, of_b):
-        d2 = near_squared(x, y)
-        d = np.sqrt(d2) if gamma is None else np.exp(-gamma * d2)
-        (ap, aq), (bp, bq) = (dense(of["codes"], of["ws"], trials) for of in (of_a, of_b))
-        to_p, to_q = d @ bp, d @ bq
-        pp, qq, pq = (ap * to_p).sum(axis=0), (aq * to_q).sum(axis=0), (ap * to_q).sum(axis=0)
-        if not itself(a, b):  # each pair of parts comes once
-            pp, qq, pq = 2 * pp, 2 * qq, pq + (aq * to_p).sum(axis=0)
-        return {"trial": np.arange(trials, dtype=np.int32), "pp": pp, "qq": qq, "pq": pq}
+    class Kernel(Sums):
+        def __init__(self):
+            super().__init__(self.pair)
+            self.weights = {}
+
+        def of(self, ids, of):
+            """A part's weights, made once a task."""
+            key = ids.tobytes()
+            if key not in self.weights:
+                if sum(len(w[0]) for w in self.weights.values()) * trials > WEIGHTS:
+                    self.weights.clear()
+                self.weights[key] = dense(of["codes"], of["ws"], trials)
+            return self.weights[key]
+
+        def pair(self, a, x, of_a, b, y, of_b):
+            d = near_squared(x, y)
+            d = np.sqrt(d, out=d) if gamma is None else np.exp(np.multiply(d, -gamma, out=d), out=d)
+            (ap, aq), (bp, bq) = self.of(a, of_a), self.of(b, of_b)
+            to_p, to_q = d @ bp, d @ bq
+            pp, qq, pq = (ap * to_p).sum(axis=0), (aq * to_q).sum(axis=0), (ap * to_q).sum(axis=0)
+            if not itself(a, b):  # each pair of parts comes once
+                pp, qq, pq = 2 * pp, 2 * qq, pq + (aq * to_p).sum(axis=0)
+            return {"pp": pp, "qq": qq, "pq": pq}
+
+        def rest(self):
+            for out in super().rest():
+                yield {"trial": np.arange(trials, dtype=np.int32)} | out
 
     dealt = blocks(points, n, "codes", "ws")
-    sums = pair_blocks(dealt, dealt, n, kernel, "trial int, pp double, qq double, pq double", halved=True).groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("pp", "qq", "pq")))
+    sums = pair_blocks(dealt, dealt, n, Kernel, "trial int, pp double, qq double, pq double", halved=True, gathers=True).groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("pp", "qq", "pq")))
     cells = points.select(F.explode(F.arrays_zip("codes", "ws")).alias("c")).select((F.col("c.codes") / 2).cast("int").alias("trial"), (F.col("c.codes") % 2 == 0).alias("of_p"), F.col("c.ws").alias("w"))
     of = lambda side, v: F.sum(F.when(F.col("of_p") == side, v).otherwise(0.0))
     w = F.col("w")
