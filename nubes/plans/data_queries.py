@@ -132,7 +132,8 @@ def coerced_values(spark, sf_dir):
     """Numbers out of texts where they are numbers: how many words of every document are, and their sum."""
     d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
     words = d.select("lang", F.explode(F.split(F.translate(F.col("text"), ".,()", "    "), "[ \n]+")).alias("word")).where(F.col("word").rlike("^[0-9A-Za-z]{1,9}$"))
-    number = F.expr("try_cast(word AS int)")
+    # of these words exactly those of digits are numbers; a try_cast of any other one raises and catches an error
+    number = F.expr("CASE WHEN word < ':' AND word RLIKE '^[0-9]+$' THEN try_cast(word AS int) END")
     return words.groupBy("lang").agg(F.count("*").alias("n"), F.count(number).alias("numbers"), F.sum(number.cast("long")).alias("total"))
 
 

@@ -15,3 +15,13 @@ def test_binomial_interval_holds_no_list_of_outcomes():
     assert peak < 1 << 20
     half = 1.959964 * (0.25 * 0.75 / 4_000_000) ** 0.5
     assert (low, high) == pytest.approx((0.25 - half, 0.25 + half), abs=1e-6)
+
+
+def test_no_word_is_cast_that_is_no_number(spark, tmp_path):
+    from nubes.plans.data_queries import coerced_values
+
+    rows = [(1, "en", "12 007 1e5 12ab (3) 4.5 999999999 1234567890 0x1F nan 5D\n8"), (2, "en", "none"), (3, None, "7"), (None, "en", "1"), (4, "de", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = coerced_values(spark, str(tmp_path))
+    assert sorted((r.lang or "", r.n, r.numbers, r.total) for r in out.collect()) == [("", 1, 1, 7), ("en", 13, 7, 12 + 7 + 3 + 4 + 5 + 999999999 + 8)]
+    assert "^[0-9]+$" in out._jdf.queryExecution().optimizedPlan().toString()
