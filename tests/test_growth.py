@@ -25,3 +25,17 @@ def test_no_word_is_cast_that_is_no_number(spark, tmp_path):
     out = coerced_values(spark, str(tmp_path))
     assert sorted((r.lang or "", r.n, r.numbers, r.total) for r in out.collect()) == [("", 1, 1, 7), ("en", 13, 7, 12 + 7 + 3 + 4 + 5 + 999999999 + 8)]
     assert "^[0-9]+$" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _reads(df, name: str) -> bool:
+    return any(name in f for f in df.inputFiles())
+
+
+def test_packets_and_folds_are_derived_from_their_tables_once(spark):
+    from nubes.functions import models
+    from nubes.plans import pool_queries, stat_queries
+
+    assert not _reads(pool_queries.alpha_rates(spark, "/root/testdata/sf0.001"), "lineitem.parquet")
+    rows = models.text_features(stat_queries.labelled(spark, "/root/testdata/sf0.001"))
+    scored = models.out_of_fold(rows, "quality", lambda t: models.LinearRegression(labelCol="quality", solver="normal").fit(t), lambda t: t.withColumnRenamed("prediction", "score"))
+    assert scored.count() == rows.count() and not _reads(scored, "documents.parquet")
