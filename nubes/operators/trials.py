@@ -42,10 +42,12 @@ def dense(codes: np.ndarray, ws: np.ndarray, trials: int) -> tuple[np.ndarray, n
     return out[:, ::2], out[:, 1::2]
 
 
-def trial_sums(points: DataFrame, trials: int, gamma: float | None = None) -> DataFrame:
-    """(trial, np, nq, pp, qq, pq) of ``weighted`` points: total weights; sums over pairs of weight products times the
-    distance, or times exp(-gamma d^2) where gamma is given, pairs of a point with itself counted."""
+def trial_sums(points: DataFrame, trials: int, *gammas: float | None) -> DataFrame:
+    """(trial, np, nq and, for gamma number k, pp_k, qq_k, pq_k) of ``weighted`` points: total weights; sums over pairs of weight
+    products times the distance, or times exp(-gamma d^2) where gamma is not None, pairs of a point with itself counted.  One pass over
+    the pairs, whatever the number of gammas."""
     n = points.count()
+    names = [f"{c}_{k}" for k in range(len(gammas)) for c in ("pp", "qq", "pq")]
 
     class Kernel(Sums):
         def __init__(self):
@@ -62,21 +64,25 @@ def trial_sums(points: DataFrame, trials: int, gamma: float | None = None) -> Da
             return self.weights[key]
 
         def pair(self, a, x, of_a, b, y, of_b):
-            d = near_squared(x, y)
-            d = np.sqrt(d, out=d) if gamma is None else np.exp(np.multiply(d, -gamma, out=d), out=d)
+            d2 = near_squared(x, y)
             (ap, aq), (bp, bq) = self.of(a, of_a), self.of(b, of_b)
-            to_p, to_q = d @ bp, d @ bq
-            pp, qq, pq = (ap * to_p).sum(axis=0), (aq * to_q).sum(axis=0), (ap * to_q).sum(axis=0)
-            if not itself(a, b):  # each pair of parts comes once
-                pp, qq, pq = 2 * pp, 2 * qq, pq + (aq * to_p).sum(axis=0)
-            return {"pp": pp, "qq": qq, "pq": pq}
+            out = []
+            for gamma in gammas:
+                d = np.sqrt(d2) if gamma is None else np.exp(-gamma * d2)
+                to_p, to_q = d @ bp, d @ bq
+                pp, qq, pq = (ap * to_p).sum(axis=0), (aq * to_q).sum(axis=0), (ap * to_q).sum(axis=0)
+                if not itself(a, b):  # each pair of parts comes once
+                    pp, qq, pq = 2 * pp, 2 * qq, pq + (aq * to_p).sum(axis=0)
+                out += [pp, qq, pq]
+            return dict(zip(names, out))
 
         def rest(self):
             for out in super().rest():
                 yield {"trial": np.arange(trials, dtype=np.int32)} | out
 
     dealt = blocks(points, n, "codes", "ws")
-    sums = pair_blocks(dealt, dealt, n, Kernel, "trial int, pp double, qq double, pq double", halved=True, gathers=True).groupBy("trial").agg(*(F.sum(c).alias(c) for c in ("pp", "qq", "pq")))
+    schema = ", ".join(["trial int", *(f"{c} double" for c in names)])
+    sums = pair_blocks(dealt, dealt, n, Kernel, schema, halved=True, gathers=True).groupBy("trial").agg(*(F.sum(c).alias(c) for c in names))
     cells = points.select(F.explode(F.arrays_zip("codes", "ws")).alias("c")).select((F.col("c.codes") / 2).cast("int").alias("trial"), (F.col("c.codes") % 2 == 0).alias("of_p"), F.col("c.ws").alias("w"))
     of = lambda side, v: F.sum(F.when(F.col("of_p") == side, v).otherwise(0.0))
     w = F.col("w")
@@ -84,19 +90,33 @@ def trial_sums(points: DataFrame, trials: int, gamma: float | None = None) -> Da
     return sizes.join(sums, "trial")
 
 
+def _energy(k: int) -> F.Column:
+    means = [F.col(f"pq_{k}") / (F.col("np") * F.col("nq")), F.col(f"pp_{k}") / (F.col("np") * F.col("np")), F.col(f"qq_{k}") / (F.col("nq") * F.col("nq"))]
+    return 2 * means[0] - means[1] - means[2]
+
+
+def _mmd(k: int) -> F.Column:
+    n, m = F.col("np"), F.col("nq")
+    # a point's pairs with itself: w of w * w, whose kernel is 1, are those of one and the same drawn point
+    inside = (F.col(f"pp_{k}") - n) / (n * (n - 1)) + (F.col(f"qq_{k}") - m) / (m * (m - 1))
+    return F.sqrt(F.greatest(F.lit(0.0), inside - 2 * F.col(f"pq_{k}") / (n * m)))
+
+
 def trial_energy(points: DataFrame, trials: int) -> DataFrame:
     """(trial, value): 2 mean d(P,Q) - mean d(P,P) - mean d(Q,Q) of every trial, zero diagonals included."""
-    means = [F.col("pq") / (F.col("np") * F.col("nq")), F.col("pp") / (F.col("np") * F.col("np")), F.col("qq") / (F.col("nq") * F.col("nq"))]
-    return trial_sums(points, trials).select("trial", (2 * means[0] - means[1] - means[2]).alias("value"))
+    return trial_sums(points, trials, None).select("trial", _energy(0).alias("value"))
 
 
 def trial_mmd(points: DataFrame, trials: int, gamma: float) -> DataFrame:
     """(trial, value): the root of the unbiased squared discrepancy, 0 at least.  A point drawn w times counts as w points, which are
     at distance 0 from each other."""
-    n, m = F.col("np"), F.col("nq")
-    # a point's pairs with itself: w of w * w, whose kernel is 1, are those of one and the same drawn point
-    inside = (F.col("pp") - n) / (n * (n - 1)) + (F.col("qq") - m) / (m * (m - 1))
-    return trial_sums(points, trials, gamma).select("trial", F.sqrt(F.greatest(F.lit(0.0), inside - 2 * F.col("pq") / (n * m))).alias("value"))
+    return trial_sums(points, trials, gamma).select("trial", _mmd(0).alias("value"))
+
+
+def trial_energy_mmd(points: DataFrame, trials: int, gamma: float) -> DataFrame:
+    """(metric, trial, value) of ``trial_energy`` and ``trial_mmd``, from one pass over the pairs."""
+    cells = [F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in (("energy", _energy(0)), ("mmd", _mmd(1)))]
+    return trial_sums(points, trials, None, gamma).select("trial", F.explode(F.array(*cells)).alias("c")).select("c.metric", "trial", "c.value")
 
 
 def relabelled(pool: DataFrame, n_p: int, permutations: int, seed: int) -> DataFrame:

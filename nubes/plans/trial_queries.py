@@ -39,9 +39,8 @@ def _all_values(pool, weights, count):
     points = Scratch(pool.sparkSession, "trials").keep(trials.weighted(pool, weights), "points")
     gamma = 1.0 / max(clouds.median_distance(pool) ** 2, fused.GAMMA_FLOOR)
     near = trial_neighbours.trial_neighbours(points, count, (1, 3, 10), 5)
-    for name, values in (("energy", trials.trial_energy(points, count)), ("mmd", trials.trial_mmd(points, count, gamma))):
-        near = near.unionByName(values.select(F.lit(name).alias("metric"), "trial", "value"))
-    return near
+    # tables of values are read several times, the passes over the pairs behind them must run once
+    return Scratch(pool.sparkSession, "trials").keep(near.unionByName(trials.trial_energy_mmd(points, count, gamma)), "values")
 
 
 def permutation_metrics(spark, sf_dir):
